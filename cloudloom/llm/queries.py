@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import quality, simhash
+from cloudloom.llm import packing, pii, quality, simhash, tokencount
 from cloudloom.llm.shared import table
 
 
@@ -17,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *[f"stats.{name}" for name in quality.STATISTICS], "base_failed", "kept")
@@ -50,9 +54,22 @@ SELECT *, NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars < 2 *
 FROM r
 """
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_token_counts": op2_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_pii": op8_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_quality_rules": _OP5_SQL}
