@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import packing, pii, quality, simhash, tokencount
+from cloudloom.llm import media, packing, pii, quality, simhash, spm, tokencount, urlfilter, warc
 from cloudloom.llm.shared import table
 
 
@@ -58,18 +58,83 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.summary(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def _sql_list(terms: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+
+
+_OP3_SQL = f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS r
+  FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         CASE WHEN contains(r, '/') THEN substr(r, strpos(r, '/')) ELSE '' END AS path
+  FROM u
+), rules(v, rh, rp) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urlfilter.RULES)}
+), fit AS (
+  SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
+  FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+  GROUP BY page_id
+), words AS (
+  SELECT page_id, host, path, ' ' || host || ' ' || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ' AS t FROM h
+), hits AS (
+  SELECT page_id, host, path,
+         len(list_filter({_sql_list(urlfilter.STRICT)}, lambda x: regexp_matches(t, '[^a-z0-9]' || x || '[^a-z0-9]'))) AS strict_n,
+         len(list_filter({_sql_list(urlfilter.SOFT)}, lambda x: regexp_matches(t, '[^a-z0-9]' || x || '[^a-z0-9]'))) AS soft_n
+  FROM words
+)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN strict_n >= 1 OR soft_n >= 2 THEN 'block' ELSE 'allow' END) AS verdict
+FROM hits LEFT JOIN fit USING (page_id)
+"""
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP9_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), f AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (1 + ((('0x' || substr(hex, (1 + i // 4 * 5)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::INT) & 31))::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (hex)
+"""
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(table(spark, sf_dir, "documents"))
+    digest = F.lower(F.hex("digest")).alias("media_sha256")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", digest, "feature")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
+    "op3_url_filters": op3_url_filters,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_pii": op8_pii,
+    "op9_warc": op9_warc,
+    "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": _OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": _OP3_SQL, "op5_quality_rules": _OP5_SQL, "op9_warc": _OP9_SQL}
