@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -27,12 +28,23 @@ def session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -
     return on_workers(spark)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints, which all executors share. Only a session that names none gets a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="cloudloom-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
 def on_workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, also where the driver runs from another folder.
+    """Let Python workers import this package, also where the driver runs from another folder, and see to a checkpoint folder.
 
     A cluster whose executors can't see this folder ships the package itself, with --py-files.
     """
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    shared_dir(spark)
     return spark
