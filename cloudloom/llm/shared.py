@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,20 +10,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudloom.session import shared_dir
+
 #: Class of characters that part words; the same six as bytes.split() takes.
 SPACE_CLASS = r"[ \t-\r]"
 SPACES = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a new temporary one only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="cloudloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
