@@ -9,7 +9,10 @@ one frequent length fills no single task.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -17,6 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,33 +31,108 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 BUCKETS = 256
-MOST_KEPT = 400_000
+#: Words that a worker keeps; beyond them its table starts anew.
+MOST_KEPT = 500_000
+#: Characters of text whose words are looked up together.
+SLICE_CHARS = 2 << 20
+#: Lower-case words of letters whose composition is plain are one pre-token.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+END_OF_WORD, END_BYTE = "</w>", b"\xff"
+MARKS = ".,;:!?"
+#: A mark that goes on a run of other characters than letters and digits.
+_RUN = re.compile(f"[^A-Za-z0-9À-ÖØ-öø-ÿ\\s][{MARKS}]")
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many) in the order of their places
 
 
+def words_of(text: str) -> list[bytes]:
+    """White-space words of a text that, encoded one by one, give the text's ids.
+
+    The tokenizer lower-cases, and parts letters from marks, but takes a run of marks as one. So in
+    Latin-1 text a single mark between a letter or digit and white space can stand alone in lower
+    case, which leaves far fewer distinct words. Other texts keep their words as they are: there
+    lower-casing could depend on neighbours, make a special token's string, or a mark belong to a run.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.encode().split()
+    if "<|" in text or _RUN.search(text):
+        return text.encode().split()
+    low = text.lower() + "\n"
+    for mark in MARKS:
+        if mark in low:
+            low = low.replace(f"{mark} ", f" {mark} ").replace(f"{mark}\n", f" {mark}\n")
+    return low.encode().split()
+
+
+def letter_merges(path: str) -> tiktoken.Encoding | None:
+    """The file's merges for whole words, or None if they can't be said as ranks of tokens.
+
+    A word's last letter is a symbol of its own kind. Here the word ends with a byte that UTF-8 never
+    has, which the lowest ranks join to the last letter before anything else merges. Merging by the
+    rank of the token that results gives what merging by the rank of the pair does, as each token
+    comes from one pair and stands in the order of the merges; that order is checked.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    ids, merges = model["vocab"], model["merges"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    if model.get("end_of_word_suffix") != END_OF_WORD or [ids.get(a + b) for a, b in pairs] != list(range(2 * 256, 2 * 256 + len(pairs))):
+        return None
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    ranks = {}
+    for token, k in ids.items():
+        if k < 2 * 256 + len(pairs):
+            ends = k >= 256 and token.endswith(END_OF_WORD)
+            ranks[bytes(byte_of[c] for c in token.removesuffix(END_OF_WORD if ends else "")) + END_BYTE * ends] = k
+    return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 2 * 256 + len(pairs) else None
+
+
 class Encoder:
     """Token ids of whole texts as little-endian bytes, by white-space words.
 
     The tokenizer drops white space and no token crosses it, so the ids of the words in turn are the
-    ids of the text. Ids of distinct words are kept in a bounded table per worker.
+    ids of the text. Ids of distinct words are kept in a bounded table per worker. Words of letters are
+    one pre-token each and are merged straight away; all others go to the library in batches.
     """
 
     def __init__(self, path: str) -> None:
         self.encoder = tokenizer(path)
+        merges = letter_merges(path)
+        self.merge = merges._core_bpe.encode_single_piece if merges else None
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, new: list[bytes]) -> None:
+        known, merge, other = self.known, self.merge, []
+        for word, text in zip(new, b" ".join(new).decode().split(" "), strict=True) if new else ():
+            if merge and text.islower() and (text.isascii() and text.isalpha() or _PLAIN.fullmatch(text)):
+                known[word] = array("I", merge(word + END_BYTE)).tobytes()
+            else:
+                other.append(text)
+        for batch in balanced(other):
+            for text, e in zip(batch, self.encoder.encode_batch_fast(batch, add_special_tokens=False), strict=True):
+                known[text.encode()] = array("I", e.ids).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > MOST_KEPT:
-            self.known.clear()
-        split = [(t or "").encode().split() for t in texts]
-        new = list({w for words in split for w in words} - self.known.keys())
-        at = 0
-        for batch in balanced([w.decode() for w in new]):
-            for e in self.encoder.encode_batch_fast(batch, add_special_tokens=False):
-                self.known[new[at]] = np.array(e.ids, dtype="<u4").tobytes()
-                at += 1
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        """Ids of whole texts; a null text counts as empty."""
+        out: list[bytes] = []
+        split: list[list[bytes]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            split.append(words_of(text or ""))
+            size += len(text or "")
+            if size >= SLICE_CHARS or k == len(texts) - 1:
+                if len(self.known) > MOST_KEPT:
+                    self.known.clear()
+                words = set().union(*split)
+                self._learn(list(words - self.known.keys()))
+                own = {w: self.known[w] for w in words}  # small enough for the processor's caches
+                out += [b"".join(map(own.__getitem__, words)) for words in split]
+                split, size = [], 0
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
