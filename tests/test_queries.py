@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cloudloom.plans import queries as plans
+from cloudloom.plans import all_queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
