@@ -21,7 +21,9 @@ def prefix(code: Column, depth: Column, finest: int) -> Column:
 
 
 def with_codes(cloud: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    return cloud.withColumn("code", G.octant_code(F.col("x"), F.col("y"), F.col("z"), depth))
+    # cell indices are columns of their own first: written out in each bit's place they would not fit a method
+    cells = cloud.withColumns({f"__{c}": G.axis_code(F.col(c), depth) for c in "xyz"})
+    return cells.withColumn("code", G.interleave(*[F.col(f"__{c}") for c in "xyz"], depth)).drop("__x", "__y", "__z")
 
 
 def prefix_counts(cloud: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:

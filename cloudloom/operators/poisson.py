@@ -73,13 +73,15 @@ def bin_samples(samples: DataFrame, depth: int, confidence: bool = False) -> Dat
 def splat(samples: DataFrame, depth: int, values: list[str]) -> DataFrame:
     """(ix, iy, iz) cells with the values spread by quadratic B-spline weights over each sample's 27 nearest cells."""
     n = float(1 << depth)
-    axis = {}
-    for c in "xyz":
-        at = F.col(c) * n
-        low = F.floor(at)
-        axis[c] = F.array(*[F.struct((low + k - 1).cast("int").alias("i"), w.alias("w")) for k, w in enumerate(G.bspline_weights(at - low))])
-    rows = samples.select(*values, *[F.explode(axis["x"]).alias("ax")], *[axis[c].alias(f"b{c}") for c in "yz"])
-    rows = rows.withColumn("ay", F.explode("by")).withColumn("az", F.explode("bz"))
+    at = samples.select(*values, *[(F.col(c) * n).alias(c) for c in "xyz"])
+    at = at.withColumns({f"l{c}": F.floor(c) for c in "xyz"}).withColumns({f"t{c}": F.col(c) - F.col(f"l{c}") for c in "xyz"})
+
+    def axis(c: str) -> Column:
+        return F.array(*[F.struct((F.col(f"l{c}") + k - 1).cast("int").alias("i"), w.alias("w")) for k, w in enumerate(G.bspline_weights(F.col(f"t{c}")))])
+
+    # explode() would also push a filter with these expressions written out down to the scan; the outer form doesn't
+    rows = at.select(*values, *[axis(c).alias(f"b{c}") for c in "xyz"]).withColumn("ax", F.explode_outer("bx"))
+    rows = rows.withColumn("ay", F.explode_outer("by")).withColumn("az", F.explode_outer("bz"))
     weight = F.col("ax.w") * F.col("ay.w") * F.col("az.w")
     keys = [F.col(f"a{c}.i").alias(f"i{c}") for c in "xyz"]
     return rows.groupBy(*keys).agg(*[F.sum(F.col(v) * weight).alias(v) for v in values])
@@ -268,7 +270,7 @@ def values_at(samples: DataFrame, grid: DataFrame, depth: int) -> DataFrame:
         at = F.col(c) * float(n) - 0.5
         low = F.floor(at)
         pair = F.array(*[F.struct(F.greatest(F.least(low + k, F.lit(n - 1)), F.lit(0)).cast("int").alias("i"), (1.0 - F.abs(at - low - k)).alias("w")) for k in (0, 1)])
-        rows = rows.withColumn(f"a{c}", F.explode(pair))
+        rows = rows.withColumn(f"a{c}", F.explode_outer(pair))
     rows = rows.select("point_id", *[F.col(f"a{c}.i").alias(f"i{c}") for c in "xyz"], (F.col("ax.w") * F.col("ay.w") * F.col("az.w")).alias("__w"))
     values = rows.join(grid, ["ix", "iy", "iz"]).groupBy("point_id").agg(F.sum(F.col("__w") * F.col("value")).alias("value"))
     return samples.join(values, "point_id")

@@ -84,7 +84,7 @@ def trim(vertices: DataFrame, faces: DataFrame, threshold: float = TRIM_THRESHOL
 
 
 def boundary_loops(faces: DataFrame) -> DataFrame:
-    """(loop, vids): the rings of open half-edges, walked so that a face on the ring fits the mesh.
+    """(loop, part, vids): the rings of open half-edges, walked so that a face on the ring fits the mesh.
 
     Open half-edges are grouped by component of shared vertices; each group is one task's small ring. A
     group in which a vertex has several open half-edges gives the rings that can be walked in it.
@@ -101,36 +101,39 @@ def boundary_loops(faces: DataFrame) -> DataFrame:
             following.setdefault(a, []).append(b)
         out = []
         while following:
-            ring, at = [], min(following)
-            while at in following and at not in ring:
-                ring.append(at)
+            path = [min(following)]
+            while path[-1] in following:
+                at = path[-1]
                 nxt = following[at].pop(0)
                 if not following[at]:
                     del following[at]
-                at = nxt
-            if at in ring and len(ring[ring.index(at) :]) >= 3:
-                ring = ring[ring.index(at) :]
-                out.append((min(ring), ring))
-        return pd.DataFrame(out, columns=["loop", "vids"])
+                if nxt in path:  # a ring is closed; what came before it goes on
+                    ring = path[path.index(nxt) :]
+                    del path[path.index(nxt) + 1 :]
+                    if len(ring) >= 3:
+                        out.append((min(ring), len(out), ring))
+                else:
+                    path.append(nxt)
+        return pd.DataFrame(out, columns=["loop", "part", "vids"])
 
-    return groups.groupBy("g").applyInPandas(walk, "loop long, vids array<bigint>")
+    return groups.groupBy("g").applyInPandas(walk, "loop long, part int, vids array<bigint>")
 
 
 def fill_holes(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """faces with every boundary loop closed by its triangulation of least area."""
     rings = boundary_loops(faces)
-    corner = rings.select("loop", F.posexplode("vids").alias("k", "vid")).join(vertices.select("vid", "x", "y", "z"), "vid")
-    rings = corner.groupBy("loop").agg(F.sort_array(F.collect_list(F.struct("k", "vid", "x", "y", "z"))).alias("ring"))
+    corner = rings.select("loop", "part", F.posexplode("vids").alias("k", "vid")).join(vertices.select("vid", "x", "y", "z"), "vid")
+    rings = corner.groupBy("loop", "part").agg(F.sort_array(F.collect_list(F.struct("k", "vid", "x", "y", "z"))).alias("ring"))
 
     def fill(frames):
         for frame in frames:
             out = []
-            for loop, ring in zip(frame["loop"], frame["ring"], strict=True):
+            for loop, part, ring in zip(frame["loop"], frame["part"], frame["ring"], strict=True):
                 points = np.array([[r["x"], r["y"], r["z"]] for r in ring])
-                out += [(loop, k, [int(ring[v]["vid"]) for v in t]) for k, t in enumerate(polygon_triangles(points))]
-            yield pd.DataFrame(out, columns=["loop", "k", "vids"])
+                out += [(loop, part, k, [int(ring[v]["vid"]) for v in t]) for k, t in enumerate(polygon_triangles(points))]
+            yield pd.DataFrame(out, columns=["loop", "part", "k", "vids"])
 
-    new = with_places(rings.mapInPandas(fill, "loop long, k int, vids array<int>"), ["loop", "k"], "n")
+    new = with_places(rings.mapInPandas(fill, "loop long, part int, k int, vids array<int>"), ["loop", "part", "k"], "n")
     top = faces.agg(F.coalesce(F.max("fid"), F.lit(-1))).first()[0]
     return faces.select("fid", F.col("vids").cast("array<int>").alias("vids")).unionByName(new.select((F.col("n") + top + 1).alias("fid"), "vids"))
 

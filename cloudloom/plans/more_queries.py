@@ -36,11 +36,11 @@ def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.cloud_embeddings(spark, sf_dir).select("point_id", F.transform(found, lambda r: F.round(r * 1e6).cast("long")).alias("roots"))
 
 
-_BOX = f"(SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by, min(z) AS az, max(z) AS bz FROM {LINES})"
-_FRAME = ", ".join(f"round(({c} / (1.1 * (b0 - a0)) + (0.5 - (a{c} + b{c}) / 2.0 / (1.1 * (b0 - a0)))) * 1e6)::BIGINT AS {n}" for c, n in zip("zxy", "xyz", strict=True))
+_BOX = f"(SELECT {', '.join(f'min({c}) AS low_{c}, max({c}) AS high_{c}' for c in 'xyz')} FROM {LINES})"
+_FRAME = ", ".join(f"round(({c} / (1.1 * side) + (0.5 - (low_{c} + high_{c}) / 2.0 / (1.1 * side))) * 1e6)::BIGINT AS {n}" for c, n in zip("zxy", "xyz", strict=True))
 
 
-@query(f"SELECT point_id, {_FRAME} FROM {LINES}, (SELECT *, ay AS a0, by AS b0 FROM {_BOX})")
+@query(f"SELECT point_id, {_FRAME} FROM {LINES}, (SELECT *, high_y - low_y AS side FROM {_BOX})")
 def unit_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     cloud = A.cloud_lineitem(spark, sf_dir)
     return clouds.transform(cloud, clouds.unit_frame(cloud)).select("point_id", *[scaled(c).alias(c) for c in "xyz"])
@@ -241,14 +241,14 @@ def sparse_times_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.multiply(m, linalg.transpose(m))
 
 
-@query("SELECT i, (i + 1)::BIGINT AS v FROM (SELECT unnest(range(30)) AS i)")
+@query("SELECT i, (i + 1)::BIGINT AS v FROM (SELECT unnest(range(12)) AS i)")
 def conjugate_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain matrix (2, -1) with a right side made for the solution 1, 2, 3, ..."""
-    i = spark.range(30).select(F.col("id").alias("i"))
-    m = i.select("i", F.explode(F.array(F.col("i") - 1, F.col("i"), F.col("i") + 1)).alias("j")).where("j between 0 and 29")
+    i = spark.range(12).select(F.col("id").alias("i"))
+    m = i.select("i", F.explode(F.array(F.col("i") - 1, F.col("i"), F.col("i") + 1)).alias("j")).where("j between 0 and 11")
     m = m.withColumn("v", F.when(F.col("i") == F.col("j"), 2.0).otherwise(-1.0))
     b = linalg.multiply_vector(m, i.select("i", (F.col("i") + 1.0).alias("v")))
-    return linalg.conjugate_gradient(m, b, 40).select("i", F.round("v").cast("long").alias("v"))
+    return linalg.conjugate_gradient(m, b, 20).select("i", F.round("v").cast("long").alias("v"))
 
 
 # --- streaming
@@ -258,7 +258,7 @@ def conjugate_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as a stream, one trigger after the other until none is left; which point stands for a cell is open."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")  # a stream takes a folder or a pattern
     cloud = stream.select(F.col("event_id").alias("point_id"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"), F.hour("ts").cast("double").alias("z"))
     out = _folder(spark, "stream")
     run = streaming.first_per_cell(cloud, EVENTS_WIDTH).writeStream.format("parquet").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start(f"{out}/rows")

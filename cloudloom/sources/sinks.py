@@ -14,7 +14,9 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 
 
 def _number(c: Column | str) -> Column:
-    return F.format_string("%.10g", F.col(c) if isinstance(c, str) else c)
+    """Ten significant digits, without trailing zeros."""
+    text = F.format_string("%.10g", F.col(c) if isinstance(c, str) else c)
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
 
 
 def write_xyz_normals(cloud: DataFrame, path: str) -> None:
@@ -89,7 +91,7 @@ def _walk(frame):
 def write_polylines(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     """Polylines as text: a line "x y z" a vertex, a blank line after each path."""
     rows = polylines(edges).join(vertices.select("sid", "x", "y", "z"), "sid")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "x", "y", "z"))), lambda p: F.concat_ws(" ", *[F.format_string("%.10g", p[c]) for c in "xyz"])), "\n")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "x", "y", "z"))), lambda p: F.concat_ws(" ", *[_number(p[c]) for c in "xyz"])), "\n")
     rows.groupBy("line").agg(F.concat(text, F.lit("\n")).alias("value")).orderBy("line").select("value").write.mode("overwrite").text(path)
 
 
