@@ -107,7 +107,7 @@ def store(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
                     places.clear()
                 if out is None:
                     name, end = f"{folder}/{uuid.uuid4().hex}.tar", 0
-                    out = files.open_output_stream(f"{at}/{name.rpartition('/')[2]}")
+                    out = files.open_output_stream(f"{at}/{name.rpartition('/')[2]}", compression=None)
                 if digest not in places:
                     info = tarfile.TarInfo(f"{digest.hex()}.png")
                     info.size = len(member)

@@ -206,7 +206,7 @@ def write_archives(
             for page_id, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
-                    stream = store.open_output_stream(f"{at}/{name}")
+                    stream = store.open_output_stream(f"{at}/{name}", compression=None)  # else the suffix has it compressed again
                     writer = Writer(stream, dictionary.value)
                     written.append((f"{folder}/{name}", 0))
                 writer.add(encode_record(page_id, url, payload.encode(), first, first is not None and page_id != first))
@@ -237,7 +237,7 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
             for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, at = file_store(path)
                 rows, size, n = [], 0, 0
-                with store.open_input_stream(at) as source:
+                with store.open_input_stream(at, compression=None) as source:
                     for r in read_archive(source):
                         rows.append((r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to, r.url, r.payload if payloads else None))
                         size += len(r.payload or b"") * payloads
