@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -29,8 +30,15 @@ from cloudloom.llm.shared import map_batches, renamed
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words and pairs that a worker keeps; beyond it the tables start anew.
-MOST_WORDS, MOST_PAIRS = 400_000, 2_000_000
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+MOST_WORDS, MOST_PAIRS = 1_000_000, 2_000_000
+#: Stands where a text may be cut besides before space marks; a text that holds it already isn't cut there.
+_CUT = "\0"
+_WORDS = re.compile(f"{MARK}*[^{MARK}{_CUT}]+|{MARK}+")
+_SOLID, _STOPS = "A-Za-z0-9À-ÖØ-öø-ÿ", ".,;:!?"
+#: A stop that doesn't follow a letter or digit.
+_RUN = re.compile(f"[^{_SOLID}][{_STOPS}]")
+#: Characters of text whose words are looked up together.
+SLICE_CHARS = 8 << 20
 
 
 class Pieces:
@@ -49,6 +57,9 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a model whose pieces cross words")
+        # where no piece has a stop after a letter or digit, no merge crosses that place
+        self.stops = [c for c in _STOPS if not any(re.search(f"[{_SOLID}]{re.escape(c)}", p) for p in self.ids)]
+        self.alone = [c for c in "\n" if not any(c in p for p in self.ids)]
         self.valid: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.plain = [self.text[i].replace(MARK, " ") if i not in special else None for i in range(n)]
@@ -122,15 +133,40 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
+    def words(self, text: str) -> list[str]:
+        """The marked words of a text: pieces never cross from one into the next."""
+        if not text:
+            return []
+        marked = MARK + text.replace(" ", MARK)
+        if _CUT in marked:
+            return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked)
+        if not _RUN.search(marked):
+            for stop in self.stops:
+                for after in (MARK, *self.alone):
+                    marked = marked.replace(stop + after, _CUT + stop + after)
+        for c in self.alone:
+            marked = marked.replace(c, _CUT + c + _CUT)
+        return _WORDS.findall(marked)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts; a null text counts as empty and has none."""
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = sorted({w for words in split for w in words} - self.known.keys())
-        for word, pieces in zip(new, self.segment(new), strict=True):
-            self.known[word] = np.array(self.numbers(pieces), dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4") for words in split]
+        out: list[np.ndarray] = []
+        split: list[list[str]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            split.append(self.words(text or ""))
+            size += len(text or "")
+            if size >= SLICE_CHARS or k == len(texts) - 1:
+                if len(self.known) > MOST_WORDS:
+                    self.known.clear()
+                distinct = set().union(*split)
+                new = sorted(distinct - self.known.keys())
+                for word, pieces in zip(new, self.segment(new), strict=True):
+                    self.known[word] = array("I", self.numbers(pieces)).tobytes()
+                own = {w: self.known[w] for w in distinct}  # small enough for the processor's caches
+                out += [np.frombuffer(b"".join(map(own.__getitem__, words)), dtype="<u4") for words in split]
+                split, size = [], 0
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, its first space mark taken off; bytes that aren't UTF-8 become replacement characters."""
