@@ -83,6 +83,11 @@ def n_repeat_words(word_list: Column, window: int = WINDOW) -> Column:
     return _let(_let(hashed, hashes), count)
 
 
+def n_echoes(word_list: Column) -> Column:
+    """Words that equal the word before them."""
+    return F.size(F.filter(word_list, lambda x, i: x == F.get(word_list, i - 1))).cast("long")
+
+
 #: What a rule may look at, each worked out only where a rule asks for it.
 STATISTICS: dict[str, Callable[[Column, Column], Column]] = {
     "n_words": lambda text, w: F.size(w).cast("long"),
@@ -90,6 +95,7 @@ STATISTICS: dict[str, Callable[[Column, Column], Column]] = {
     "n_symbols": lambda text, w: n_symbols(text),
     "n_dup_lines": lambda text, w: n_dup_lines(text),
     "n_repeat_words": lambda text, w: n_repeat_words(w),
+    "n_echoes": lambda text, w: n_echoes(w),
 }
 
 
@@ -115,6 +121,7 @@ RULES = (
     Rule("symbols_per_word", lambda get: 10 * get("n_symbols") > get("n_words")),
     Rule("short_words", lambda get: get("word_chars") < 2 * get("n_words")),
     Rule("long_words", lambda get: get("word_chars") > 20 * get("n_words")),
+    Rule("echoes", lambda get: 5 * get("n_echoes") > get("n_words")),
     Rule("duplicate_lines", lambda get: (get("n_dup_lines") >= 3) & (10 * get("n_dup_lines") > get("n_words"))),
 )
 

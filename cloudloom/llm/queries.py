@@ -46,14 +46,14 @@ WITH d AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
-         coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+         coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_echoes
   FROM d LEFT JOIN cov USING (doc_id)
 ), r AS (
-  SELECT doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_repeat_words,
+  SELECT doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_repeat_words, n_echoes,
          n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
   FROM s
 )
-SELECT *, NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+SELECT *, NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 5 * n_echoes > n_words
                                    OR (n_dup_lines >= 3 AND 10 * n_dup_lines > n_words)) AS kept
 FROM r
 """

@@ -16,7 +16,7 @@ def brute(text):
     often = {w for w, n in Counter(windows).items() if n > 1}
     covered = {j for k, w in enumerate(windows) if w in often for j in range(k, k + 8)}
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len({*lines}), len(covered))
+    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len({*lines}), len(covered), sum(a == b for a, b in zip(words, words[1:])))
 
 
 NINE = "a b c d e f g h i"
