@@ -218,3 +218,53 @@ class Tree:
                     next_rows, next_nodes = fanned, place
             rows, nodes = next_rows, next_nodes
         return out
+
+    def apply_blocks(self, kind: str, at: np.ndarray, attributes: np.ndarray, width: float, far: float = FAR, moments=None, block: int = 64) -> np.ndarray:
+        """apply() for positions in an order in which neighbours stand together, a block at a time.
+
+        A block shares one walk: a node stands for its points if it is far from all of the block, so no
+        position takes a coarser node than in apply(). The sums are dense then, without gathering.
+        """
+        sums, means = moments or self.moments(attributes)
+        a = attributes[self.order]
+        out = np.zeros((len(at), KINDS[kind][1]))
+        for first in range(0, len(at), block):
+            own = at[first : first + block]
+            centre = (own.min(axis=0) + own.max(axis=0)) / 2
+            radius = np.sqrt(((own - centre) ** 2).sum(axis=1).max())
+            nodes, far_nodes, near = np.zeros(1, dtype=np.int64), [], []
+            while len(nodes):
+                away = np.sqrt(((means[nodes] - centre) ** 2).sum(axis=1)) - radius > far * self.half[nodes]
+                far_nodes.append(nodes[away])
+                nodes = nodes[~away]
+                leaf = self.count[nodes] == 0
+                near.append(_ranges(self.start[nodes[leaf]], self.end[nodes[leaf]] - self.start[nodes[leaf]]))
+                nodes = _ranges(self.first[nodes[~leaf]], self.count[nodes[~leaf]])
+            f, p = np.concatenate(far_nodes), np.concatenate(near)
+            places, values = np.concatenate((means[f], self.points[p])), np.concatenate((sums[f], a[p]))
+            out[first : first + block] = dense(kind, own, places, values, width)
+        return out
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64)
+    return np.repeat(starts - np.concatenate(([0], lengths.cumsum()[:-1])), lengths) + np.arange(lengths.sum())
+
+
+def dense(kind: str, at: np.ndarray, places: np.ndarray, values: np.ndarray, width: float) -> np.ndarray:
+    """Sums over all places at each position: kernel() axis by axis. einsum() starts no threads, of which each worker would start its own."""
+    d = [at[:, c, None] - places[None, :, c] for c in range(3)]
+    d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    near = d2 < width * width
+    d2[near] = width * width
+    inverse2 = 1.0 / d2
+    cube = inverse2 * np.sqrt(inverse2)
+    if kind == "A":
+        return -sum(np.einsum("ij,ij,j->i", d[c], cube, values[:, c]) for c in range(3))[:, None]
+    cube[near] = 0.0
+    if kind == "AT":
+        return np.stack([np.einsum("ij,ij,j->i", d[c], cube, values[:, 0]) for c in range(3)], axis=1)
+    along = (d[0] * values[:, 0] + d[1] * values[:, 1] + d[2] * values[:, 2]) * cube * inverse2
+    return np.stack([np.einsum("ij,j->i", cube, values[:, c]) - 3.0 * np.einsum("ij,ij->i", d[c], along) for c in range(3)], axis=1)

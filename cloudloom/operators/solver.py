@@ -23,7 +23,7 @@ ITERATIONS = 40
 WIDTHS = {"l0": (0.002, 0.016), "l1": (0.01, 0.04), "l2": (0.02, 0.08), "l3": (0.03, 0.12), "l4": (0.04, 0.16), "l5": (0.05, 0.2)}
 MOST_LOCAL = 500_000
 #: Points in a slice of a local pass.
-SLICE = 2048
+SLICE = 1024
 
 
 def widths(preset: str, low: float | None = None, high: float | None = None) -> tuple[float, float]:
@@ -81,7 +81,7 @@ def _local(points: DataFrame, iterations: int, low: float, high: float, cap: int
     at = rows[["x", "y", "z"]].to_numpy(float)
     tree = nbody.Tree(at, depth, cap)
     held = spark.sparkContext.broadcast(tree)
-    slices = spark.range(0, len(at), SLICE, numPartitions=max(1, min(spark.sparkContext.defaultParallelism * 2, -(-len(at) // SLICE))))
+    slices = spark.range(0, len(at), SLICE, numPartitions=max(1, min(spark.sparkContext.defaultParallelism, -(-len(at) // SLICE))))
 
     def apply(kind: str, attributes: np.ndarray, width: float) -> np.ndarray:
         attributes = attributes if attributes.ndim == 2 else attributes[:, None]
@@ -93,7 +93,7 @@ def _local(points: DataFrame, iterations: int, low: float, high: float, cap: int
             for frame in frames:
                 for first in frame["id"]:
                     own = slice(first, first + SLICE)  # neighbours in the tree's order visit the same nodes
-                    values = t.apply(kind, t.points[own], a, width, moments=moments)
+                    values = t.apply_blocks(kind, t.points[own], a, width, moments=moments)
                     yield pd.DataFrame({"first": [first], "values": [values.ravel().tobytes()]})
 
         out = np.empty((len(at), size))
@@ -103,7 +103,7 @@ def _local(points: DataFrame, iterations: int, low: float, high: float, cap: int
         sent.destroy()
         return out
 
-    if len(at) * iterations <= 2_000_000:  # too little for a job per pass to pay
+    if len(at) <= 4 * SLICE:  # too little for a job per pass to pay
         apply = lambda kind, a, width: tree.apply(kind, at, a if a.ndim == 2 else a[:, None], width)
     mu = np.zeros((len(at), 3))
     for k in range(iterations):

@@ -27,6 +27,10 @@ def test_exact_sums_and_treecode(spark, kind):
     tree = nbody.treecode(kind, df, df, 0.05, 6, 4).orderBy("point_id").drop("point_id").toPandas().to_numpy()
     local = nbody.Tree(at, 6, 4).apply(kind, at, attributes[:, 3:] if kind == "AT" else attributes[:, :3], 0.05)
     assert np.allclose(tree, local)
+    t = nbody.Tree(at, 6, 4)
+    blocks = t.apply_blocks(kind, t.points, attributes[:, 3:] if kind == "AT" else attributes[:, :3], 0.05, block=16)
+    assert np.linalg.norm(blocks - want[t.order]) < 0.02 * np.linalg.norm(want)
+    assert np.allclose(nbody.dense(kind, at, at, attributes[:, 3:] if kind == "AT" else attributes[:, :3], 0.05), want)
     assert np.linalg.norm(tree - want) < 0.02 * np.linalg.norm(want)
 
 
