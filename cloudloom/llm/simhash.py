@@ -205,7 +205,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Repeated rows of one id and text count as one row. All columns of docs are kept.
     """
-    classes = near_duplicates(docs, id_col, text_col)
+    return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with the first row of each class. classes: (id, text_key, fp, component)."""
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("text_key"))
     # rows of a class without any id share a null component: their fingerprints tell such classes apart
     chosen = classes.groupBy("component", F.when(F.col("component").isNull(), F.col("fp"))).agg(F.min(order).alias("least"))

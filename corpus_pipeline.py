@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, SimHash near-duplicates, personal data, packing."""
+"""The corpus pipeline: quality rules, near copies, personal data, packing."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudloom.llm import packing, pii, quality, simhash
+from cloudloom.llm import nearcopies, packing, pii, quality
 from cloudloom.llm.shared import materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class."""
-    return simhash.deduplicate(docs)
+    """One document of each class of near copies."""
+    return nearcopies.deduplicate(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
