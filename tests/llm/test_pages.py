@@ -154,3 +154,25 @@ def test_an_archive_starts_with_its_dictionary(spark):
     store, at = pafs.FileSystem.from_uri(path)
     with store.open_input_file(at) as f:
         assert f.read(4) == warc.DICT_MAGIC.to_bytes(4, "little")
+
+
+LONG = "The first paragraph of the article runs over a good many words, so that it is plain text of the page. " * 3
+
+
+@pytest.mark.parametrize(
+    "source, inside",
+    [
+        (f"<!doctype html><head><title>t</title><article><p>{LONG}</p><p>{LONG}</p></article>", "first paragraph"),
+        (f"<head><title>t</title><style>p{{}}</style> {LONG}", "first paragraph"),
+        (f"<body><article><p>{LONG}</p><p>so <math><mi>q</mi><mo>=</mo><mn>17</mn></math> holds. {LONG}</p></article>", "so q=17 holds."),
+        (f"<body><article><p>{LONG}</p><xmp>if a < b &amp; c: <b>go</b></xmp><p>{LONG}</p></article>", "if a < b &amp; c: <b>go</b>"),
+    ],
+)
+def test_text_without_head_ends_and_formulas_stay(source, inside):
+    got = htmlextract.main_text([source], htmlextract.model())[0]
+    assert inside in got and "style" not in got
+
+
+def test_titles_and_styles_stay_out_of_an_open_head():
+    page = htmlextract.Page("<head><title>t</title><meta x> <script>s</script><style>y</style><p>word")
+    assert [text for _, text in page.blocks] == ["word"]
