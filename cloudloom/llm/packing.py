@@ -39,8 +39,8 @@ SLICE_CHARS = 2 << 20
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 END_OF_WORD, END_BYTE = "</w>", b"\xff"
 MARKS = ".,;:!?"
-#: A mark that goes on a run of other characters than letters and digits.
-_RUN = re.compile(f"[^A-Za-z0-9À-ÖØ-öø-ÿ\\s][{MARKS}]")
+#: A mark that goes on a run of other characters than letters and digits. U+001C to U+001F are white space to \s, but not to the tokenizer.
+_RUN = re.compile(f"[^A-Za-z0-9À-ÖØ-öø-ÿ \\t-\\r\\x85\\xa0][{MARKS}]")
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many) in the order of their places
 

@@ -193,3 +193,9 @@ def test_words_of_letters_merge_as_in_the_library(spark, sample):
     merge = packing.letter_merges(WORD)._core_bpe.encode_single_piece
     texts = sorted(words)
     assert [merge(w.encode() + packing.END_BYTE) for w in texts] == library(WORD, texts)
+
+
+def test_control_characters_before_a_mark_give_the_library_ids():
+    texts = [f"x{c}{mark} y" for c in "\x1c\x1d\x1e\x1f\x85\xa0" for mark in packing.MARKS]
+    got = packing.Encoder(WORD).encode(texts)
+    assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == library(WORD, texts)
