@@ -1,26 +1,26 @@
-"""Near copies by the Jaccard similarity of word shingles.
-
-MinHash bands propose groups of shingle sets; within a group every link is checked on the whole sets, so
-no pair below SIMILARITY is linked. SimHash can't propose them: at similarity 0.8 the 64 bits differ in
-ten places on average, too many for shards that share blocks of bits. Two sets of similarity 0.8 share
-none of the BANDS keys with a chance of 0.00003; that is all that can be lost. A group's sets meet in
-cells of bounded size, so a large group of near copies fills no single task.
+"""The SimHash near-duplicate join for a Jaccard similarity of word shingles.
+
+Two texts with similarity 0.8 differ in ten of the 64 bits on average, so no choice of bit blocks can
+name the shards of their BK-trees. Here MinHash band keys name them: sets that share a key meet in one
+shard, whose BK-tree proposes the fingerprints within NEAR_RADIUS bits, and every link is checked on the
+whole sets. Two sets of similarity 0.8 share none of the BANDS keys with a chance of 0.00003, and differ in
+more than NEAR_RADIUS bits with one under 0.000001: that is all that can be lost, and no pair below the
+similarity is linked. A shard's sets meet in cells of bounded size, so a large group of near copies fills
+no single task.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.llm.bktrees import SEED, BKTree, components, fingerprint_of, shingle_hashes
 from cloudloom.llm.shared import map_batches, materialize, renamed
-from cloudloom.llm.simhash import _LOWER, SEED, components, keep_first
 
-SHINGLE = 5
+NEAR_SHINGLE, NEAR_RADIUS = 5, 24
 #: Least similarity of a link, as a fraction.
 SIMILARITY = (4, 5)
 BANDS, ROWS = 20, 4
@@ -30,19 +30,6 @@ _SEEDS = np.random.default_rng(SEED).integers(0, 1 << 63, size=(BANDS * ROWS, 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of a text's lower-cased word shingles; shorter texts are one shingle."""
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = memoryview(b" ".join(words))
-    width = min(SHINGLE, len(words))
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[width - 1 :], strict=False)), dtype=np.uint64))
-
-
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """One key a band: a hash of ROWS least values; none for the empty set."""
     if not len(hashes):
@@ -56,11 +43,11 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(id, text_key, fp, bands) for each row: fp names the shingle set."""
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(2).to_pylist()]
         fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
         bands = pa.array([band_keys(s) for s in sets], type=pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps), bands], ["id", "text_key", "fp", "bands"])
@@ -79,14 +66,9 @@ def proposed(rows: DataFrame) -> DataFrame:
     return stars.select(F.col("node").alias("fp"), F.col("root").alias("part")).unionByName(stars.select(F.col("root").alias("fp"), F.col("root").alias("part")).distinct())
 
 
-def cell_links(fps: list[int], roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def cell_links(fps: list[int], roots: list[int], sets: list[np.ndarray], radius: int, similarity: tuple[int, int]) -> list[tuple[int, int]]:
     """Links that, with those already known by equal roots, span all groups of pairs with the similarity or more."""
-    over, under = SIMILARITY
-    sizes = [len(s) for s in sets]
-    _, ranks, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.empty(len(counts), np.int64)
-    place[np.argsort(counts, kind="stable")] = np.arange(len(counts))  # rare shingles first
-    parts = [np.sort(p) for p in np.split(place[ranks], np.cumsum(sizes)[:-1])]
+    over, under = similarity
     parent = list(range(len(fps)))
 
     def root(x: int) -> int:
@@ -98,33 +80,32 @@ def cell_links(fps: list[int], roots: list[int], sets: list[np.ndarray]) -> list
     known: dict[int, int] = {}
     for x, r in enumerate(roots):
         parent[root(x)] = root(known.setdefault(r, x))
-    index: dict[int, list[int]] = {}
+    tree, of, holders = BKTree(), {}, []
     out = []
-    for x in sorted(range(len(fps)), key=sizes.__getitem__):
-        # two sets with the similarity share one of so many rarest shingles
-        prefix = parts[x][: sizes[x] + 1 + (-over * sizes[x]) // under].tolist()
-        tried = set()
-        for shingle in prefix:
-            for y in index.setdefault(shingle, []):
-                if y in tried or root(x) == root(y):
-                    continue
-                tried.add(y)
-                if under * sizes[y] >= over * sizes[x]:
-                    common = len(np.intersect1d(parts[x], parts[y], assume_unique=True))
-                    if under * common >= over * (sizes[x] + sizes[y] - common):
+    for x in sorted(range(len(fps)), key=lambda k: len(sets[k])):
+        size, print_ = len(sets[x]), fingerprint_of(sets[x])
+        for node in tree.within(print_, radius):
+            for y in holders[node]:
+                if under * len(sets[y]) >= over * size and root(x) != root(y):
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if under * common >= over * (size + len(sets[y]) - common):
                         parent[root(x)] = root(y)
                         out.append((fps[x], fps[y]))
-            index[shingle].append(x)
+        if print_ not in of:
+            of[print_] = tree.insert(print_)
+            holders.append([])
+        holders[of[print_]].append(x)
     return out
 
 
-def checked(cells: DataFrame, texts: DataFrame) -> DataFrame:
+def checked(cells: DataFrame, texts: DataFrame, shingle: int, radius: int, similarity: tuple[int, int]) -> DataFrame:
     """(a, b) links within each cell. cells: (part, cell, fp, root)."""
 
     def per_cell(cell: pa.Table) -> pa.Table:
         first = {fp: (root, text) for fp, root, text in zip(*(cell.column(c).to_pylist() for c in ("fp", "root", "text")), strict=True)}
         fps = sorted(first)
-        found = cell_links(fps, [first[k][0] for k in fps], [shingle_set(first[k][1]) for k in fps])
+        sets = [np.unique(shingle_hashes(first[k][1], shingle)) for k in fps]
+        found = cell_links(fps, [first[k][0] for k in fps], sets, radius, similarity)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return cells.join(texts, "fp").groupBy("part", "cell").applyInArrow(per_cell, "a long, b long")
@@ -152,23 +133,24 @@ def later_cells(groups: DataFrame, stars: DataFrame) -> DataFrame:
     return columns.unionByName(lines).distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, fp, component) for each row of docs; component names the class of linked shingle sets."""
-    rows = materialize(signatures(docs, id_col, text_col), "near")
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, similarity: tuple[int, int] = SIMILARITY
+) -> DataFrame:
+    """(id, text_key, fp, component) for each row of docs; component names the class of linked shingle sets.
+
+    Null and blank texts share the empty set. Repeated rows and null ids each come back; texts of any length
+    are read whole; an empty table gives an empty result; other columns of docs are not read.
+    """
+    rows = materialize(signatures(docs, id_col, text_col, shingle), "near")
     parts = materialize(proposed(rows), "near-parts")
     groups = materialize(parts.join(parts.groupBy("part").agg(F.count("*").alias("n")), "part"), "near-groups")
     named = rows.join(groups.select("fp"), "fp").groupBy("fp").agg(F.min("text_key").alias("text_key"))
     keyed = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{text_col}`").alias("text"))
     texts = keyed.join(named, "text_key").groupBy("text_key", "fp").agg(F.first("text").alias("text")).select("fp", "text")
     texts = materialize(texts, "near-texts")
-    links = materialize(checked(first_cells(groups), texts), "near-links")
+    links = materialize(checked(first_cells(groups), texts, shingle, radius, similarity), "near-links")
     stars = components(links, "near-classes")
     if groups.where(F.col("n") > CELL).limit(1).count():
-        later = materialize(checked(later_cells(groups, stars), texts), "near-links")
+        later = materialize(checked(later_cells(groups, stars), texts, shingle, radius, similarity), "near-links")
         stars = components(links.unionByName(later), "near-classes")
     return rows.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("id", "text_key", "fp", F.coalesce("root", "fp").alias("component"))
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class of near copies, chosen as in simhash.deduplicate; all columns are kept."""
-    return keep_first(docs, near_copies(docs, id_col, text_col), id_col, text_col)

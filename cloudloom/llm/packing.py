@@ -3,13 +3,12 @@
 Lengths are integers up to the capacity, so the whole instance is a histogram of at most `capacity`
 counts, whatever the number of documents. The driver reduces it and packs the rest best fit, both with
 multiplicities: a plan is a list of patterns, each with the number of bins that repeat it. Pieces then
-take their places by their rank among pieces of equal length. Ranks are worked out in hash buckets, so
-one frequent length fills no single task.
+take their places by their rank among pieces of equal length. Ranks are worked out in hash buckets, whose
+number grows with the most frequent length, so that length fills no single task.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from array import array
@@ -20,24 +19,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.llm.shared import map_batches, materialize, renamed
-from cloudloom.llm.tokencount import balanced, tokenizer
+from cloudloom.llm.tokencount import tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
-BUCKETS = 256
+#: Pieces of one length in a bucket, on average: what a task ranks at a time.
+BUCKET_PIECES = 200_000
 #: Words that a worker keeps; beyond them its table starts anew.
-MOST_KEPT = 500_000
+MOST_KEPT = 1_000_000
+#: Words that the library encodes at a time.
+BATCH_WORDS = 20_000
 #: Characters of text whose words are looked up together.
 SLICE_CHARS = 2 << 20
-#: Lower-case words of letters whose composition is plain are one pre-token.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
-END_OF_WORD, END_BYTE = "</w>", b"\xff"
 MARKS = ".,;:!?"
 #: A mark that goes on a run of other characters than letters and digits. U+001C to U+001F are white space to \s, but not to the tokenizer.
 _RUN = re.compile(f"[^A-Za-z0-9À-ÖØ-öø-ÿ \\t-\\r\\x85\\xa0][{MARKS}]")
@@ -66,55 +64,24 @@ def words_of(text: str) -> list[bytes]:
     return low.encode().split()
 
 
-def letter_merges(path: str) -> tiktoken.Encoding | None:
-    """The file's merges for whole words, or None if they can't be said as ranks of tokens.
-
-    A word's last letter is a symbol of its own kind. Here the word ends with a byte that UTF-8 never
-    has, which the lowest ranks join to the last letter before anything else merges. Merging by the
-    rank of the token that results gives what merging by the rank of the pair does, as each token
-    comes from one pair and stands in the order of the merges; that order is checked.
-    """
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    ids, merges = model["vocab"], model["merges"]
-    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-    if model.get("end_of_word_suffix") != END_OF_WORD or [ids.get(a + b) for a, b in pairs] != list(range(2 * 256, 2 * 256 + len(pairs))):
-        return None
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in visible]
-    byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
-    ranks = {}
-    for token, k in ids.items():
-        if k < 2 * 256 + len(pairs):
-            ends = k >= 256 and token.endswith(END_OF_WORD)
-            ranks[bytes(byte_of[c] for c in token.removesuffix(END_OF_WORD if ends else "")) + END_BYTE * ends] = k
-    return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 2 * 256 + len(pairs) else None
-
-
 class Encoder:
     """Token ids of whole texts as little-endian bytes, by white-space words.
 
     The tokenizer drops white space and no token crosses it, so the ids of the words in turn are the
-    ids of the text. Ids of distinct words are kept in a bounded table per worker. Words of letters are
-    one pre-token each and are merged straight away; all others go to the library in batches.
+    ids of the text. All ids come from the library; those of distinct words are kept in a bounded table
+    per worker.
     """
 
     def __init__(self, path: str) -> None:
         self.encoder = tokenizer(path)
-        merges = letter_merges(path)
-        self.merge = merges._core_bpe.encode_single_piece if merges else None
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, new: list[bytes]) -> None:
-        known, merge, other = self.known, self.merge, []
-        for word, text in zip(new, b" ".join(new).decode().split(" "), strict=True) if new else ():
-            if merge and text.islower() and (text.isascii() and text.isalpha() or _PLAIN.fullmatch(text)):
-                known[word] = array("I", merge(word + END_BYTE)).tobytes()
-            else:
-                other.append(text)
-        for batch in balanced(other):
-            for text, e in zip(batch, self.encoder.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                known[text.encode()] = array("I", e.ids).tobytes()
+        encode = self.encoder.encode_batch_fast
+        for first in range(0, len(new), BATCH_WORDS):
+            words = new[first : first + BATCH_WORDS]
+            encoded = encode(b" ".join(words).decode().split(" "), add_special_tokens=False)
+            self.known.update((word, array("I", e.ids).tobytes()) for word, e in zip(words, encoded, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts; a null text counts as empty."""
@@ -305,16 +272,21 @@ class Places:
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """pieces() with sequence_id and offset: every piece of every row in one sequence of at most `capacity` tokens.
 
-    Sequences are gapless from offset 0. Null and empty texts are packed as their end token alone.
-    Repeated rows are packed each on its own, rows without an id too. An empty table gives no rows.
-    Other columns of docs are not read.
+    Sequences are gapless from offset 0. Null and empty texts are packed as their end token alone. A very
+    long text is cut into pieces, each packed on its own. Repeated rows are packed each on its own, rows
+    without an id too. Pieces of one length are alike to the plan: which of them takes which place goes
+    by hash bucket, then id, piece, start and checksum, and full ties are equal pieces. An empty table
+    gives no rows. Other columns of docs are not read.
     """
     spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64("id", "piece"), F.lit(BUCKETS)).cast("int")
-    cut = materialize(pieces(docs, path, capacity, id_col, text_col).withColumn("bucket", bucket), "pieces")
-    by_bucket = materialize(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")), "piece-counts")  # at most capacity * BUCKETS rows
-    histogram = {r["length"]: r["n"] for r in by_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    # the row's place in its partition parts equal rows and rows without an id; it is written down, so that no lost task changes it
+    hashed = F.xxhash64("id", "piece", F.monotonically_increasing_id())
+    cut = materialize(pieces(docs, path, capacity, id_col, text_col).withColumn("hash", hashed), "pieces")
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     places = spark.sparkContext.broadcast(Places(plan(histogram, capacity)))
+    buckets = max(1, -(-max(histogram.values(), default=0) // BUCKET_PIECES))
+    cut = cut.withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int")).drop("hash")
+    by_bucket = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = by_bucket.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("length", "bucket").orderBy("id", "piece", "start", "ids_crc32")

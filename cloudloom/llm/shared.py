@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from cloudloom.session import shared_dir
 #: Class of characters that part words; the same six as bytes.split() takes.
 SPACE_CLASS = r"[ \t-\r]"
 SPACES = " \t\n\x0b\f\r"
+#: Bytes of text that a Python function gets at a time.
+BATCH_BYTES = 32 << 20
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -42,12 +46,41 @@ def renamed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as keep them apart from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of at most most_bytes bytes of strings, or of one longer row; empty ones are passed over.
+
+    Arrow batches are bounded by rows. A Python function that takes whole texts needs a bound in bytes.
+    """
+    for batch in batches:
+        sizes = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+                sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
+        ends, first = np.cumsum(sizes), 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch; empty batches are passed over."""
+    """mapInArrow with a function of one batch of bounded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := per_batch(batch)) is not None:
+        for batch in byte_slices(batches):
+            if (out := per_batch(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)

@@ -12,23 +12,21 @@ each round written to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.llm import nearcopies
+from cloudloom.llm.bktrees import BITS, BKTree, components, fingerprint_of, keep_first, shingle_hashes
 from cloudloom.llm.shared import map_batches, materialize, renamed
 
-BITS = 64
 RADIUS = 2
 SHINGLE = 3
-SEED = 42
 #: Bit blocks (first bit, width); RADIUS differing bits leave len(BLOCKS) - RADIUS blocks equal.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shard_masks(radius: int = RADIUS) -> list[int]:
@@ -42,22 +40,7 @@ def shard_masks(radius: int = RADIUS) -> list[int]:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """SimHash of a whole text over word shingles, repeats included; zero without words."""
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return 0
-    joined = memoryview(b" ".join(words))
-    width = min(shingle, len(words))
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[width - 1 :], strict=False)), dtype="<u8", count=len(words) - width + 1
-    )
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):  # bounded memory for very long texts
-        part = hashes[at : at + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return fingerprint_of(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -75,35 +58,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(rows, per_batch, "id long, text_key long, fp long")
 
 
-class BKTree:
-    """Distinct integers under Hamming distance; children are keyed by their distance to the parent."""
-
-    def __init__(self) -> None:
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def insert(self, value: int) -> int:
-        """Put in a value that isn't in the tree yet; its index."""
-        new = len(self.values)
-        self.values.append(value)
-        self.children.append({})
-        at = 0
-        while at != new:
-            at = self.children[at].setdefault((value ^ self.values[at]).bit_count(), new)
-        return new
-
-    def within(self, value: int, radius: int) -> Iterator[int]:
-        """Indices of the values within the radius, following only edges that the triangle inequality allows."""
-        stack = [0] if self.values else []
-        while stack:
-            at = stack.pop()
-            distance = (value ^ self.values[at]).bit_count()
-            if distance <= radius:
-                yield at
-            edges = self.children[at]
-            stack += [edges[d] for d in range(max(1, distance - radius), distance + radius + 1) if d in edges]
-
-
 def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     """A spanning forest of one shard's links, as (member, root) with the forest's earliest value as root."""
     tree, parent = BKTree(), []
@@ -159,35 +113,13 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, name: str = "stars", most_rounds: int = 64) -> DataFrame:
-    """(node, root) for each node but the roots, of the graph with edges (a, b); the root is a component's least node.
-
-    Alternating large-star and small-star contraction. Minima are partial aggregates and the joins carry
-    hot nodes only on their streamed side, where adaptive execution splits them.
-    """
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    seen = None
-    for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, name)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
-    raise RuntimeError("star contraction did not settle")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(id, text_key, fp, component) for each row of docs; component is the least id linked to the row.
 
     Null and blank texts have fingerprint zero and are linked like any other. Repeated rows each come
     back. A row without an id keeps a null id; its class is the least id that the class has, or null.
-    An empty table gives an empty result. Other columns of docs are not read.
+    A text of any length has one fingerprint, worked out in bounded memory beside its words. An empty
+    table gives an empty result. Other columns of docs are not read.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
     firsts = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-first")
@@ -200,20 +132,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select("id", "text_key", "fp", "component")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, similarity: tuple[int, int] | None = None
+) -> DataFrame:
     """docs with one row of each near-duplicate class: the one with the least id (nulls last), then text_key.
 
-    Repeated rows of one id and text count as one row. All columns of docs are kept.
+    Without `similarity`, fingerprints within the radius link. With it, a fraction, texts link whose sets of
+    shingles have that Jaccard similarity or more: fingerprints within the radius are candidates, and each
+    link is checked on the whole sets (see nearcopies). Repeated rows of one id and text count as one row.
+    Null and blank texts are one class. Texts of any length are read whole. All columns of docs are kept,
+    whatever their names; an empty table stays empty.
     """
-    return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
-
-
-def keep_first(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with the first row of each class. classes: (id, text_key, fp, component)."""
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("text_key"))
-    # rows of a class without any id share a null component: their fingerprints tell such classes apart
-    chosen = classes.groupBy("component", F.when(F.col("component").isNull(), F.col("fp"))).agg(F.min(order).alias("least"))
-    no_id = F.lit(-(1 << 63))  # stands for a null id, so that join and duplicates share one partitioning
-    chosen = chosen.select(F.coalesce("least.id", no_id).alias("__id"), F.col("least.text_key").alias("__key"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), no_id), "__key": F.xxhash64(F.col(f"`{text_col}`"))})
-    return keyed.join(chosen, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    if similarity is None:
+        classes = near_duplicates(docs, id_col, text_col, shingle, radius)
+    else:
+        classes = nearcopies.near_copies(docs, id_col, text_col, shingle, radius, similarity)
+    return keep_first(docs, classes, id_col, text_col)

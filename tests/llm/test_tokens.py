@@ -187,12 +187,13 @@ def test_unigram_pass_finds_the_best_score():
     assert pieces.merged("▁the") == ["▁the"]
 
 
-def test_words_of_letters_merge_as_in_the_library(spark, sample):
-    words = {w for r in spark.read.parquet(f"{sample}/documents.parquet").collect() for w in r["text"].lower().split() if w.isalpha()}
-    words |= {"a", "é", "ÿ", "x" * 300, "aa", "ß"}
-    merge = packing.letter_merges(WORD)._core_bpe.encode_single_piece
-    texts = sorted(words)
-    assert [merge(w.encode() + packing.END_BYTE) for w in texts] == library(WORD, texts)
+def test_ids_of_all_short_strings_of_latin_1():
+    chance = random.Random(9)
+    alphabet = [chr(k) for k in range(256)] + ["<|endoftext|>", "<|startoftext|>", "'ll", " "] * 8 + list(" .,!?") * 6
+    texts = ["".join(chance.choice(alphabet) for _ in range(chance.randint(1, 9))) for _ in range(20_000)]
+    texts += ["".join(chance.choice("ab \x1c\x1d\x1e\x1f\x85\xa0.,;:!?") for _ in range(chance.randint(1, 7))) for _ in range(20_000)]
+    got = packing.Encoder(WORD).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == library(WORD, texts)
 
 
 def test_control_characters_before_a_mark_give_the_library_ids():
