@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudloom.llm import nearcopies, packing, pii, quality
+from cloudloom.llm import packing, pii, quality, simhash
+from cloudloom.llm.nearcopies import NEAR_RADIUS, NEAR_SHINGLE, SIMILARITY
 from cloudloom.llm.shared import materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
-    return nearcopies.deduplicate(docs)
+    """One document of each class of near copies: five-word shingles, similarity 0.8 or more."""
+    return simhash.deduplicate(docs, shingle=NEAR_SHINGLE, radius=NEAR_RADIUS, similarity=SIMILARITY)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
