@@ -29,9 +29,11 @@ def session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints, which all executors share. Only a session that names none gets a temporary one."""
+    """The folder for checkpoints, which all executors share. A local session that names none gets a temporary one; a cluster must name it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cloudloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
