@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.shared import free_names, materialize
+from cloudloom.operators.mesh import forests
 
 BITS = 64
 SEED = 42
@@ -72,10 +73,11 @@ class BKTree:
 def components(edges: DataFrame, name: str = "stars", most_rounds: int = 64) -> DataFrame:
     """(node, root) for each node but the roots, of the graph with edges (a, b); the root is a component's least node.
 
-    Alternating large-star and small-star contraction. Minima are partial aggregates and the joins carry
-    hot nodes only on their streamed side, where adaptive execution splits them.
+    Each task first joins the edges that it has (mesh.forests); alternating large-star and small-star
+    contraction joins the rest. Minima are partial aggregates and the joins carry hot nodes only on their
+    streamed side, where adaptive execution splits them.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    now = materialize(forests(edges, "a", "b").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), name)
     seen = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -1,8 +1,10 @@
 """Media columns: content-addressed payloads in tar shards in the shared folder.
 
-Rows carry a member's digest, shard, offset and length. A task stores each payload that it meets once;
-where several tasks stored the same one, all rows take the copy with the least shard and offset.
-Metadata columns come from range reads of the members' headers, features from reads of whole members.
+Rows carry a member's digest, shard, offset and length. A payload is stored once: of rows with equal texts
+only the first by id is written, the others find it by the text's digest. (Rows that repeat an id and its
+text may be written by several tasks; all rows then take the copy with the least shard and offset.) A text
+that many rows hold is dealt by a salt. Metadata columns come from range reads of the members' headers,
+features from reads of whole members.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.shared import file_store, materialize, new_folder, renamed
+from cloudloom.llm.shared import byte_slices, file_store, joined_to_few, materialize, new_folder, renamed
 
 WIDTH = 64
 SHARD_BYTES = 128 << 20
-#: Members within so many bytes of a shard are read by one task, in order.
-READ_BYTES = 4 << 20
+#: Stored bytes that a task reads, in order, and the greatest number of such tasks.
+READ_BYTES, MOST_READERS = 16 << 20, 20_000
+#: Rows of one text that meet its place in one task.
+ROWS_A_SALT = 500
 BINS = 16
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33  # signature and IHDR chunk
@@ -82,24 +86,37 @@ def feature(payload: bytes) -> str:
     return "-".join(map(str, [*shares.tolist(), step]))
 
 
-def store(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, digest, shard, offset, length) for each row: where its text is stored as a media payload.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, key, writes, salts): key is the text's digest; the first row of a text by id writes it; salts grow with the rows that share it."""
+    rows = renamed(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    shared = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    rows = joined_to_few(rows, materialize(shared, "media-shared"), "key")
+    salts = F.ceil(F.coalesce("n", F.lit(1)) / ROWS_A_SALT).cast("int")
+    return rows.select("id", "text", "key", (F.col("n").isNull() | F.col("id").eqNullSafe(F.col("first"))).alias("writes"), salts.alias("salts"))
 
-    A null text counts as empty: one row of zero samples. digest is SHA-256 of the stored member.
+
+def store(rows: DataFrame, folder: str | None = None) -> DataFrame:
+    """keyed() rows, without the text, with n_bytes and, where a row writes, (digest, shard, offset, length) of the member that it wrote.
+
+    A null text counts as empty: one row of zero samples. A very long text is one member, held whole while
+    it is written. digest is SHA-256 of the stored member.
     """
-    folder = folder or new_folder(docs.sparkSession, "media")
+    folder = folder or new_folder(rows.sparkSession, "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, at = file_store(folder)
         files.create_dir(at, recursive=True)
-        places: dict[bytes, tuple[str, int, int]] = {}  # of this shard
+        places: dict[bytes, tuple[bytes, str, int, int]] = {}  # of this shard, by key and by digest
         out, name, end = None, "", 0
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = (text or "").encode()
-                member = to_png(padded(data))
-                digest = hashlib.sha256(member).digest()
+        for batch in byte_slices(batches):
+            sizes, found = [], []
+            for text, key, writes in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                data = text.encode()
+                sizes.append(len(data))
+                if not writes:
+                    found.append((None,) * 4)
+                    continue
                 if out is not None and end >= SHARD_BYTES:
                     out.write(bytes(2 * _BLOCK))
                     out.close()
@@ -108,51 +125,60 @@ def store(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
                 if out is None:
                     name, end = f"{folder}/{uuid.uuid4().hex}.tar", 0
                     out = files.open_output_stream(f"{at}/{name.rpartition('/')[2]}", compression=None)
-                if digest not in places:
+                if key not in places:
+                    member = to_png(padded(data))
+                    digest = hashlib.sha256(member).digest()
+                    places[key] = places.get(digest)
+                if places[key] is None:
                     info = tarfile.TarInfo(f"{digest.hex()}.png")
                     info.size = len(member)
                     head = info.tobuf(tarfile.USTAR_FORMAT)
                     tail = bytes(-len(member) % _BLOCK)
                     out.write(head + member + tail)
-                    places[digest] = (name, end + len(head), len(member))
+                    places[key] = places[digest] = (digest, name, end + len(head), len(member))
                     end += len(head) + len(member) + len(tail)
-                rows.append((doc_id, len(data), digest, *places[digest]))
-            if rows:
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64())
-                columns = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "digest", "shard", "offset", "length"])
+                found.append(places[key])
+            types = (pa.binary(), pa.string(), pa.int64(), pa.int64())
+            columns = [pa.array(c, type=t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+            narrow = [batch.column(k) for k in (0, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([*narrow, pa.array(sizes, type=pa.int64()), *columns], ["id", "key", "writes", "salts", "n_bytes", "digest", "shard", "offset", "length"])
         if out is not None:
             out.write(bytes(2 * _BLOCK))
             out.close()
 
-    rows = renamed(docs, id=id_col, text=text_col).selectExpr("cast(id as long) id", "text")
-    return materialize(rows.mapInArrow(run, "id long, n_bytes long, digest binary, shard string, offset long, length long"), "media-rows")
+    schema = "id long, key binary, writes boolean, salts int, n_bytes long, digest binary, shard string, offset long, length long"
+    return materialize(rows.select("id", "text", "key", "writes", "salts").mapInArrow(run, schema), "media-rows")
 
 
 def members(rows: DataFrame) -> DataFrame:
-    """The distinct payloads of store()'s rows: (digest, shard, offset, length) of the one copy that all rows use."""
-    place = F.min(F.struct("shard", "offset", "length")).alias("at")
-    return rows.groupBy("digest").agg(place).select("digest", "at.*")
+    """The distinct payloads of store()'s rows: (digest, shard, offset, length, key, salts) of the one copy that all rows use.
+
+    Two texts have one member where zero bytes alone part them: it is then read once for each.
+    """
+    place = F.min(F.struct("shard", "offset", "length", "digest", "salts")).alias("at")
+    return rows.where("writes").groupBy("key").agg(place).select("at.digest", "at.shard", "at.offset", "at.length", "key", "at.salts")
 
 
 def _in_reading_order(found: DataFrame) -> DataFrame:
-    part = F.floor(F.col("offset") / READ_BYTES)
-    return found.repartition("shard", part).sortWithinPartitions("shard", "offset").select("digest", "shard", "offset", "length")
+    stored = found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    parts = max(1, min(-(-stored // READ_BYTES), MOST_READERS))  # by what they will read: their places alone are small
+    places = found.select("key", "digest", "shard", "offset", "length")
+    return places.repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def _each_member(found: DataFrame, read, names: list[str], types: list[pa.DataType], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, source = None, None
         for batch in batches:
-            out: list[tuple] = []
-            for digest, shard, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != opened:
-                    if source is not None:
-                        source.close()
-                    files, at = file_store(shard)
-                    opened, source = shard, files.open_input_file(at)
-                out.append((digest, *read(source, digest, offset, length)))
-            if out:
+            for at in range(0, batch.num_rows, 1024):
+                out: list[tuple] = []
+                for key, digest, shard, offset, length in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
+                    if shard != opened:
+                        if source is not None:
+                            source.close()
+                        files, path = file_store(shard)
+                        opened, source = shard, files.open_input_file(path)
+                    out.append((key, *read(source, digest, offset, length)))
                 columns = [pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names)
         if source is not None:
@@ -162,19 +188,19 @@ def _each_member(found: DataFrame, read, names: list[str], types: list[pa.DataTy
 
 
 def metadata(found: DataFrame) -> DataFrame:
-    """(digest, width, height, payload_bytes, media_bytes) by range reads of HEADER_BYTES bytes of each member."""
+    """(key, width, height, payload_bytes, media_bytes) by range reads of HEADER_BYTES bytes of each member."""
 
     def read(source, digest: bytes, offset: int, length: int) -> tuple:
         width, height = png_size(source.read_at(HEADER_BYTES, offset))
         return width, height, width * height, length
 
     types = [pa.binary(), *[pa.int64()] * 4]
-    names = ["digest", "width", "height", "payload_bytes", "media_bytes"]
-    return _each_member(found, read, names, types, "digest binary, width long, height long, payload_bytes long, media_bytes long")
+    names = ["key", "width", "height", "payload_bytes", "media_bytes"]
+    return _each_member(found, read, names, types, "key binary, width long, height long, payload_bytes long, media_bytes long")
 
 
 def features(found: DataFrame) -> DataFrame:
-    """(digest, payload_sha256, tail_crc32, feature) from whole members, each checked against its digest."""
+    """(key, payload_sha256, tail_crc32, feature) from whole members, each checked against its digest."""
 
     def read(source, digest: bytes, offset: int, length: int) -> tuple:
         member = source.read_at(length, offset)
@@ -184,16 +210,20 @@ def features(found: DataFrame) -> DataFrame:
         return hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), feature(payload)
 
     types = [pa.binary(), pa.string(), pa.int64(), pa.string()]
-    return _each_member(found, read, ["digest", "payload_sha256", "tail_crc32", "feature"], types, "digest binary, payload_sha256 string, tail_crc32 long, feature string")
+    return _each_member(found, read, ["key", "payload_sha256", "tail_crc32", "feature"], types, "key binary, payload_sha256 string, tail_crc32 long, feature string")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """store()'s rows with metadata() and features() of their payloads, for each row of docs.
+    """(id, n_bytes, digest, shard, offset, length, width, height, payload_bytes, media_bytes, payload_sha256, tail_crc32, feature) for each row.
 
-    Null texts count as empty; equal texts get equal values; repeated rows and null ids each come back;
-    an empty table gives an empty result; other columns are not read.
+    Null texts count as empty; equal texts get equal values, their one copy's place included; very long texts
+    are one member each; repeated rows and null ids each come back; an empty table gives an empty result;
+    other columns are not read.
     """
-    rows = store(docs, None, id_col, text_col)
+    rows = store(keyed(docs, id_col, text_col))
     found = materialize(members(rows), "media-members")
-    known = metadata(found).join(features(found), "digest")
-    return rows.join(known, "digest")
+    known = metadata(found).join(features(found), "key").join(found, "key")
+    # a text of many rows is there once for each salt, and its rows are dealt to them
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    narrow = rows.select("id", "n_bytes", "key", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), "salts").cast("int").alias("salt"))
+    return narrow.join(known, ["key", "salt"]).drop("key", "salt")

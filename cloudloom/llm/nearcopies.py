@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.bktrees import SEED, BKTree, components, fingerprint_of, shingle_hashes
-from cloudloom.llm.shared import map_batches, materialize, renamed
+from cloudloom.llm.shared import joined_to_few, map_batches, materialize, renamed
 
 NEAR_SHINGLE, NEAR_RADIUS = 5, 24
 #: Least similarity of a link, as a fraction.
@@ -144,10 +144,11 @@ def near_copies(
     rows = materialize(signatures(docs, id_col, text_col, shingle), "near")
     parts = materialize(proposed(rows), "near-parts")
     groups = materialize(parts.join(parts.groupBy("part").agg(F.count("*").alias("n")), "part"), "near-groups")
-    named = rows.join(groups.select("fp"), "fp").groupBy("fp").agg(F.min("text_key").alias("text_key"))
+    named = materialize(rows.join(groups.select("fp"), "fp").groupBy("fp").agg(F.min("text_key").alias("text_key")), "near-named")
     keyed = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{text_col}`").alias("text"))
-    texts = keyed.join(named, "text_key").groupBy("text_key", "fp").agg(F.first("text").alias("text")).select("fp", "text")
-    texts = materialize(texts, "near-texts")
+    # copies of a text are brought down to one in each task before they are shuffled
+    texts = joined_to_few(keyed, named, "text_key").where("fp is not null").groupBy("text_key", "fp").agg(F.first("text").alias("text"))
+    texts = materialize(texts.select("fp", "text"), "near-texts")
     links = materialize(checked(first_cells(groups), texts, shingle, radius, similarity), "near-links")
     stars = components(links, "near-classes")
     if groups.where(F.col("n") > CELL).limit(1).count():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", *[f"stats.{name}" for name in quality.STATISTICS], "base_failed", "kept")
+    return judged.select("doc_id", *[f"stats.{name}" for name in quality.REPORTED], "base_failed", "kept")
 
 
 _OP5_SQL = """
@@ -53,7 +53,7 @@ WITH d AS (
          n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
   FROM s
 )
-SELECT *, NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 5 * n_echoes > n_words
+SELECT * EXCLUDE (n_echoes), NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 5 * n_echoes > n_words
                                    OR (n_dup_lines >= 3 AND 10 * n_dup_lines > n_words)) AS kept
 FROM r
 """
@@ -76,10 +76,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
-def _sql_list(terms: tuple[str, ...]) -> str:
+def _sql_list(terms: Iterable[str]) -> str:
     return "[" + ", ".join(f"'{t}'" for t in terms) + "]"
 
 
+#: Stems of the soft terms with their weights: a term and its plural count once.
+_SOFT = {t.removesuffix("s"): w for t, w in urlfilter.SOFT.items()}
 _OP3_SQL = f"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS r
@@ -94,15 +96,17 @@ WITH u AS (
   FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
   GROUP BY page_id
 ), words AS (
-  SELECT page_id, host, path, ' ' || host || ' ' || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ' AS t FROM h
-), hits AS (
-  SELECT page_id, host, path,
-         len(list_filter({_sql_list(urlfilter.STRICT)}, lambda x: regexp_matches(t, '[^a-z0-9]' || x || '[^a-z0-9]'))) AS strict_n,
-         len(list_filter({_sql_list(urlfilter.SOFT)}, lambda x: regexp_matches(t, '[^a-z0-9]' || x || '[^a-z0-9]'))) AS soft_n
-  FROM words
+  SELECT page_id, list_distinct(regexp_split_to_array(host || ' ' || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+')) AS w FROM h
+), soft(stem, weight) AS (VALUES {", ".join(f"('{t}', {w})" for t, w in _SOFT.items())}
+), strict_hits AS (SELECT page_id, true AS strict FROM words WHERE list_has_any(w, {_sql_list(urlfilter.STRICT)})
+), soft_hits AS (
+  SELECT page_id, count(*) AS n, sum(weight) AS weight
+  FROM (SELECT DISTINCT page_id, regexp_replace(t, 's$', '') AS stem FROM (SELECT page_id, unnest(list_intersect(w, {_sql_list(urlfilter.SOFT)})) AS t FROM words)) JOIN soft USING (stem)
+  GROUP BY page_id
 )
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN strict_n >= 1 OR soft_n >= 2 THEN 'block' ELSE 'allow' END) AS verdict
-FROM hits LEFT JOIN fit USING (page_id)
+SELECT h.page_id, host, path, rule,
+       coalesce(v, CASE WHEN strict OR (n >= {urlfilter.SOFT_TERMS} AND weight >= {urlfilter.SOFT_WEIGHT}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN fit USING (page_id) LEFT JOIN strict_hits USING (page_id) LEFT JOIN soft_hits USING (page_id)
 """
 
 

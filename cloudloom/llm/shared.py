@@ -12,6 +12,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudloom.functions.names import free_names  # noqa: F401  for the operators
 from cloudloom.session import shared_dir
 
 #: Class of characters that part words; the same six as bytes.split() takes.
@@ -19,6 +20,8 @@ SPACE_CLASS = r"[ \t-\r]"
 SPACES = " \t\n\x0b\f\r"
 #: Bytes of text that a Python function gets at a time.
 BATCH_BYTES = 32 << 20
+#: Rows of a few narrow columns that may be broadcast: some 50 MB.
+BROADCAST_ROWS = 500_000
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -46,17 +49,6 @@ def renamed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
-def free_names(df: DataFrame, *names: str) -> list[str]:
-    """The names with as many underscores before them as keep them apart from df's columns."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def byte_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in batches of at most most_bytes bytes of strings, or of one longer row; empty ones are passed over.
 
@@ -84,3 +76,13 @@ def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBa
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def joined_to_few(rows: DataFrame, few: DataFrame, key: str, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """rows left joined to `few`, which holds each key once. few: a written narrow table, broadcast if its count is under the bound.
+
+    Beyond the bound both sides are shuffled by the key; the side of the rows, where one key may be frequent, is
+    the streamed one, which adaptive execution splits.
+    """
+    small = few.count() <= most_rows
+    return rows.join(F.broadcast(few) if small else few.hint("merge"), key, "left")

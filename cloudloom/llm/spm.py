@@ -41,10 +41,54 @@ _RUN = re.compile(f"[^{_SOLID}][{_STOPS}]")
 SLICE_CHARS = 8 << 20
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol-buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        number, wire = divmod(varint(), 8)
+        if wire == 0:
+            yield number, varint()
+            continue
+        size = {1: 8, 5: 4}.get(wire) or varint()
+        yield number, data[at : at + size]
+        at += size
+
+
+# Field numbers and defaults of the public model format.
+_TRAINER, _NORMALIZER, _MODEL_TYPE, _CHARSMAP, _DUMMY_PREFIX, _REMOVE_SPACES, _ESCAPE_SPACES = 2, 3, 3, 2, 3, 4, 5
+_KINDS = {1: "unigram", 2: "bpe"}
+
+
+def kind_of(path: str) -> str:
+    """The kind of a model file, by its own statement. Models that change a text before they cut it are refused."""
+    with open(path, "rb") as f:
+        parts = dict(_fields(f.read()))  # of repeated fields the last; these two stand once
+    kind = dict(_fields(parts.get(_TRAINER, b""))).get(_MODEL_TYPE, 1)
+    normalizer = dict(_fields(parts.get(_NORMALIZER, b"")))
+    if kind not in _KINDS:
+        raise ValueError("a model that is neither unigram nor BPE")
+    if normalizer.get(_CHARSMAP) or normalizer.get(_REMOVE_SPACES, 1) or not normalizer.get(_DUMMY_PREFIX, 1) or not normalizer.get(_ESCAPE_SPACES, 1):
+        raise ValueError("a model with a normalizer: texts would be changed before they are cut")
+    return _KINDS[kind]
+
+
 class Pieces:
     """The vocabulary of a model file, with the forward pass over sorted words."""
 
-    def __init__(self, path: str, kind: str = "bpe") -> None:
+    def __init__(self, path: str) -> None:
+        kind = kind_of(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         special = {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)}
@@ -181,26 +225,29 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-_loaded: dict[tuple[str, str], Pieces] = {}
+_loaded: dict[str, Pieces] = {}
 
 
-def pieces_of(path: str, kind: str = "bpe") -> Pieces:
+def pieces_of(path: str) -> Pieces:
     """The model's Pieces, loaded once per worker."""
-    if (path, kind) not in _loaded:
-        _loaded[path, kind] = Pieces(path, kind)
-    return _loaded[path, kind]
+    if path not in _loaded:
+        _loaded[path] = Pieces(path)
+    return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) for each row: the model's ids of the whole text.
 
-    A null or empty text has no ids. Repeated rows and null ids each come back; an empty table gives an
-    empty result; other columns are not read. path: a sentencepiece model file.
+    A null or empty text has no ids. Texts are encoded whole; a very long one is a row of its own in memory.
+    Repeated rows and null ids each come back, equal texts with equal ids; an empty table gives an empty
+    result; other columns are not read. path: a sentencepiece model file, unigram or BPE by its own
+    statement, without a normalizer; of two unigram segmentations with one score the one whose last piece
+    is longer is taken.
     """
     path = path or public_tokenizers.path(MODEL)
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = pieces_of(path, kind).encode(batch.column(1).to_pylist())
+        ids = pieces_of(path).encode(batch.column(1).to_pylist())
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
         flat = np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.int32)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(flat))], ["id", "ids"])
@@ -209,19 +256,19 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", id_col:
     return map_batches(rows, per_batch, "id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str | None = None, kind: str = "bpe") -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(id, text) for each row (id, ids); null ids give an empty text."""
     path = path or public_tokenizers.path(MODEL)
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = pieces_of(path, kind)
+        model = pieces_of(path)
         texts = [model.decode(np.array(ids or [], dtype=np.int64)) for ids in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], ["id", "text"])
 
     return map_batches(encoded.select("id", "ids"), per_batch, "id long, text string")
 
 
-def summary(docs: DataFrame, path: str | None = None, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def summary(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_pieces, ids_crc32, decoded_crc32, round_trip) for each row: encoded, decoded again and compared.
 
     Checksums are of the ids as little-endian unsigned 32-bit numbers and of the decoded text in UTF-8.
@@ -230,7 +277,7 @@ def summary(docs: DataFrame, path: str | None = None, kind: str = "bpe", id_col:
     path = path or public_tokenizers.path(MODEL)
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, rows = pieces_of(path, kind), []
+        model, rows = pieces_of(path), []
         texts = batch.column(1).to_pylist()
         for text, ids in zip(texts, model.encode(texts), strict=True):
             decoded = model.decode(ids)

@@ -106,8 +106,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
     """(id, n_bytes, n_tokens, over_limit) for each row of docs.
 
     A null text counts as empty, with 0 bytes and tokens. Special strings inside texts are handled as
-    the tokenizer's default. Repeated rows each come back; an empty table gives an empty result; other
-    columns of docs are not read. path: a file of the tokenizers library.
+    the tokenizer's default. A very long text is counted in parts and is whole in one row's memory; a run
+    without a safe boundary is one part. Repeated rows and null ids each come back, equal texts with equal
+    counts; an empty table gives an empty result; other columns of docs are not read. path: a file of the tokenizers library.
     """
     path = path or public_tokenizers.path(TOKENIZER)
 

@@ -6,7 +6,7 @@ only between boundaries. One strict term rejects, and so do several distinct sof
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 import ahocorasick
 import pyarrow as pa
@@ -14,13 +14,31 @@ from pyspark.sql import DataFrame
 
 from cloudloom.llm.shared import map_batches, renamed
 
-STRICT = ("casino", "porn", "pornhub", "xxx", "viagra", "cialis", "escorts", "sexcam", "warez", "keygen", "phishing", "malware")
-SOFT = (
-    "ad", "ads", "adult", "banner", "bet", "bets", "betting", "bonus", "cheap", "click", "crack", "crypto", "dating", "download", "farm", "free",
-    "gamble", "hot", "jackpot", "loan", "loans", "lottery", "nude", "pharma", "pill", "pills", "poker", "popup", "prize", "promo", "replica", "rolex",
-    "sex", "slots", "spam", "torrent", "track", "tracker", "tracking", "win", "winner", "x",
+# Terms of unwanted pages and their weights, a short list of our own by kind of page. Strict stems alone
+# reject; soft terms count by how rarely harmless URLs have them. Plurals and the compounds below are made by rule.
+_STRICT_STEMS = (
+    "casino", "porn", "porno", "pornstar", "xxx", "milf", "hentai", "escort", "sexcam", "camgirl", "striptease", "viagra", "cialis", "levitra", "tramadol",
+    "warez", "keygen", "phishing", "malware", "ransomware", "jackpot",
 )
-STRICT_WEIGHT, SOFT_WEIGHT, REJECT_WEIGHT = 2, 1, 2
+#: What is written in one word with a strict stem: freeporn, pornhub.
+_BEFORE, _AFTER = ("free", "live", "hot", "online", "best", "real"), ("hub", "tube", "video", "site", "online", "club")
+_SOFT_STEMS = {
+    2: ("ad", "advert", "adult", "bet", "betting", "gambling", "poker", "roulette", "slot", "sex", "sexy", "nude", "erotic", "fetish", "pill", "replica",
+        "rolex", "torrent", "crack", "spam", "popup", "clickbait", "payday", "lottery"),
+    1: ("banner", "bonus", "cheap", "click", "coupon", "crypto", "dating", "deal", "discount", "farm", "free", "giveaway", "hot", "loan", "pharmacy", "prize",
+        "promo", "rated", "track", "tracker", "tracking", "traffic", "webcam", "win", "winner", "x"),
+}
+
+
+def plurals(stem: str) -> tuple[str, ...]:
+    return (stem,) if stem.endswith(("x", "y", "ing", "s")) else (stem, stem + "s")
+
+
+STRICT = tuple(sorted({t for stem in _STRICT_STEMS for s in plurals(stem) for t in (s, *[b + s for b in _BEFORE], *[s + a for a in _AFTER])}))
+#: Term -> weight.
+SOFT = {t: weight for weight, stems in _SOFT_STEMS.items() for stem in stems for t in plurals(stem)}
+#: Soft terms reject if there are so many distinct stems with such a weight together.
+SOFT_TERMS, SOFT_WEIGHT = 2, 3
 #: (verdict, host, path)
 RULES = (
     ("block", "com", "/en/"),
@@ -69,38 +87,45 @@ class Rules:
 
 
 class Vocabulary:
-    """Weighted terms; a text is rejected from REJECT_WEIGHT on, each distinct term counting once."""
+    """Strict and weighted soft terms. One strict term rejects, and so do SOFT_TERMS distinct soft ones that weigh SOFT_WEIGHT together.
+
+    A term and its plural are one term. Each counts once, however often it stands in the text.
+    """
 
-    def __init__(self, strict: Iterable[str] = STRICT, soft: Iterable[str] = SOFT) -> None:
+    def __init__(self, strict: Iterable[str] = STRICT, soft: Mapping[str, int] = SOFT) -> None:
         self.automaton = ahocorasick.Automaton()
-        for terms, weight in ((soft, SOFT_WEIGHT), (strict, STRICT_WEIGHT)):
-            for term in terms:
-                self.automaton.add_word(term, (term, weight))
+        for term, weight in soft.items():
+            self.automaton.add_word(term, (term, weight))
+        for term in strict:
+            self.automaton.add_word(term, (term, 0))
         self.automaton.make_automaton()
 
-    def weight(self, text: str) -> int:
-        """The weights of the distinct terms that stand between boundaries: no ASCII letter or digit beside them."""
+    def hits(self, text: str) -> dict[str, int]:
+        """The weights of the distinct terms that stand between boundaries: no ASCII letter or digit beside them. Strict ones have 0."""
         found = {}
         for end, (term, weight) in self.automaton.iter(text):
             before, after = end - len(term), end + 1
             if (before < 0 or text[before] not in _WORD) and (after == len(text) or text[after] not in _WORD):
-                found[term] = weight
-        return sum(found.values())
+                found[term.removesuffix("s")] = weight
+        return found
 
     def rejects(self, host: str, path: str) -> bool:
-        return self.weight(f"{host} {path.translate(_LOWER)}") >= REJECT_WEIGHT
+        weights = self.hits(f"{host} {path.translate(_LOWER)}").values()
+        return 0 in weights or (len(weights) >= SOFT_TERMS and sum(weights) >= SOFT_WEIGHT)
 
 
 def filter_urls(
-    pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, strict: Iterable[str] = STRICT, soft: Iterable[str] = SOFT,
+    pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, strict: Iterable[str] = STRICT, soft: Mapping[str, int] = SOFT,
     id_col: str = "page_id", url_col: str = "url",
 ) -> DataFrame:
     """(id, host, path, rule, verdict) for each row of pages; verdict is the longest fitting rule's, else the vocabulary's.
 
-    A null or malformed URL has an empty host and path, fits no rule and is allowed. Repeated rows each
-    come back; an empty table gives an empty result; other columns are not read.
+    A null or malformed URL has an empty host and path, fits no rule and is allowed. URLs of any length are
+    searched whole, but for their query and fragment. Rules that fit equally well go by host, then by
+    their order. Repeated rows and null ids each come back; an empty table gives an empty result; other
+    columns are not read.
     """
-    rules, strict, soft = tuple(rules), tuple(strict), tuple(soft)
+    rules, strict, soft = tuple(rules), tuple(strict), dict(soft)
     built: list = []
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:

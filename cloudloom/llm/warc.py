@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.shared import file_store, materialize, new_folder, renamed
+from cloudloom.llm.shared import byte_slices, file_store, joined_to_few, materialize, new_folder, renamed
 
 #: The skippable frame that holds the dictionary, by the public WARC-in-Zstandard convention.
 DICT_MAGIC = 0x184D2A5D
@@ -29,6 +29,8 @@ DICT_BYTES = 32 << 10
 DICT_PAYLOADS, DICT_PAYLOAD_BYTES = 400, 8 << 10
 LEVEL = 3
 ARCHIVE_BYTES = 256 << 20
+#: Tasks that read archives; each takes several beyond so many.
+MOST_READERS = 20_000
 DATE = "1970-01-01T00:00:00Z"
 NO_URL = "urn:no-url"
 _CHUNK = 1 << 20
@@ -170,11 +172,14 @@ def read_archive(source: BinaryIO) -> Iterator[Record]:
 def write_archives(
     pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html"
 ) -> DataFrame:
-    """One record per row of pages, in archives in `folder`; a row (path, records) for each archive.
+    """One record per row of pages, in archives in `folder`; a row (path, records, bytes) for each archive.
 
     Of rows with equal payloads of at least min_revisit_bytes bytes, those with the least id are
     responses and the others revisit it. A null payload counts as empty. Without any id among them, all
-    rows with a payload are responses.
+    rows with a payload are responses. Repeated rows get a record each, an empty table gives no archive.
+    A record of any length is written whole; a task holds one at a time.
+    Payloads aren't shuffled: only their digests are, and what they say of repeated payloads goes to the
+    rows where these are read, as long as it is few enough to be broadcast.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
@@ -184,7 +189,7 @@ def write_archives(
     # payloads that occur once need no partner, which leaves a narrow table that is small unless much repeats
     firsts = rows.groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max(F.octet_length("payload")).alias("size"))
     firsts = firsts.where((F.col("n") > 1) & (F.col("size") >= min_revisit_bytes)).select("sha1", "first")
-    rows = rows.join(firsts, "sha1", "left").select("id", "url", "payload", "first")
+    rows = joined_to_few(rows, materialize(firsts, "warc-firsts"), "sha1").select("id", "url", "payload", "first")
     head = renamed(pages, payload=payload_col).select(F.left("payload", F.lit(DICT_PAYLOAD_BYTES)).alias("payload")).where("payload <> ''").limit(DICT_PAYLOADS)
     sample = [r["payload"].encode() for r in head.collect()]
     dictionary = spark.sparkContext.broadcast(make_dictionary(sample))
@@ -192,38 +197,40 @@ def write_archives(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = file_store(folder)
         store.create_dir(at, recursive=True)
-        written: list[tuple[str, int]] = []
+        written: list[tuple[str, int, int]] = []
         stream = writer = None
 
         def close() -> None:
             nonlocal stream, writer
             if writer:
                 stream.close()
-                written[-1] = (written[-1][0], writer.records)
+                written[-1] = (written[-1][0], writer.records, writer.bytes)
                 stream = writer = None
 
-        for batch in batches:
+        for batch in byte_slices(batches):
             for page_id, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     stream = store.open_output_stream(f"{at}/{name}", compression=None)  # else the suffix has it compressed again
                     writer = Writer(stream, dictionary.value)
-                    written.append((f"{folder}/{name}", 0))
+                    written.append((f"{folder}/{name}", 0, 0))
                 writer.add(encode_record(page_id, url, payload.encode(), first, first is not None and page_id != first))
                 if writer.bytes >= ARCHIVE_BYTES:
                     close()
         close()
         if written:
-            paths, records = zip(*written, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(records, type=pa.int64())], ["path", "records"])
+            paths, records, sizes = zip(*written, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(records, type=pa.int64()), pa.array(sizes, type=pa.int64())], ["path", "records", "bytes"])
 
-    return materialize(rows.mapInArrow(run, "path string, records long"), "warc-archives")
+    return materialize(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-archives")
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """(page_id, record_type, payload_bytes, payload_digest, refers_to, url, payload) for each page in the archives at `path`.
 
     payloads: whether to return the payload of responses; else it is read and checked all the same, and null.
+    Each archive is read by one task, frame by frame, and archives are dealt evenly; an empty table of
+    archives gives no rows, and a damaged archive or one of another number of pages raises.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,13 +258,15 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
                     raise ValueError(f"{path} holds {n} pages, not {expected}")
 
     schema = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, payload binary"
-    return archives.select("path", "records").repartition("path").mapInArrow(run, schema)
+    parts = max(1, min(archives.count(), MOST_READERS))  # a stated number: a few paths of a few bytes each would be coalesced into one task
+    return archives.select("path", "records").repartitionByRange(parts, "path").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """pages written as archives and read back: a row for each row of pages, payloads left out.
 
-    Null ids stay null, null payloads are empty, repeated rows get a record each, an empty table gives no
-    rows; other columns are not read.
+    Null ids stay null, null payloads are empty, repeated rows get a record each, of equal payloads the row
+    with the least id is the response, very long payloads are one record, an empty table gives no rows;
+    other columns are not read.
     """
     return read_archives(write_archives(pages, None, min_revisit_bytes, id_col, url_col, payload_col))

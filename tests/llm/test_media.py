@@ -7,7 +7,7 @@ import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
-from cloudloom.llm import media
+from cloudloom.llm import media, shared
 
 SCHEMA = "doc_id long, text string"
 TEXTS = [None, "", "a", "a", "a\0", "x" * 63, "x" * 64, "x" * 65, "é" * 32, "𝔘 text " * 30_000, "a"]
@@ -33,18 +33,36 @@ def test_payloads_come_back_whole(spark):
 
 
 def test_shards_are_tar_files_with_members_named_by_digest(spark):
-    stored = media.store(rows(spark).coalesce(1))
+    stored = media.store(media.keyed(rows(spark).coalesce(1)))
     found = media.members(stored).collect()
-    assert len(found) == len({media.to_png(media.padded((t or "").encode())) for t in TEXTS})
+    assert len(found) == len({t or "" for t in TEXTS})
     files, at = pafs.FileSystem.from_uri(found[0]["shard"])
     with files.open_input_file(at) as f, tarfile.open(fileobj=io.BytesIO(f.read())) as tar:
         names = {m.name: (m.offset_data, m.size) for m in tar.getmembers()}
-    assert names == {f"{bytes(r['digest']).hex()}.png": (r["offset"], r["length"]) for r in found}
+    assert {(f"{bytes(r['digest']).hex()}.png", r["length"]) for r in found} == {(n, size) for n, (_, size) in names.items()}
+    assert all(names[f"{bytes(r['digest']).hex()}.png"][1] == r["length"] for r in found)
+
+
+def test_equal_texts_are_stored_once_whatever_the_tasks(spark):
+    df = rows(spark, ["same text"] * 200 + [f"other {k}" for k in range(20)]).repartition(7)
+    stored = media.store(media.keyed(df))
+    assert stored.where("writes").count() == 21 and media.members(stored).count() == 21
+    got = media.media_columns(df).collect()
+    assert len(got) == 220 and len({(r["shard"], r["offset"]) for r in got if r["id"] < 200}) == 1
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_a_frequent_text_is_salted_and_loses_no_row(spark, monkeypatch, few):
+    monkeypatch.setattr(media, "ROWS_A_SALT", 10)
+    monkeypatch.setattr(media, "joined_to_few", lambda a, b, key: shared.joined_to_few(a, b, key, few))
+    got = media.media_columns(rows(spark, ["same text"] * 95 + [None, "", "x"]).repartition(5)).collect()
+    assert sorted(r["id"] for r in got) == list(range(98))
+    assert {r["payload_sha256"] for r in got if r["id"] < 95} == {hashlib.sha256(media.padded(b"same text")).hexdigest()}
 
 
 def test_metadata_reads_headers_only(spark):
-    found = media.members(media.store(rows(spark)))
-    by = {bytes(r["digest"]): r for r in media.metadata(found).collect()}
+    found = media.members(media.store(media.keyed(rows(spark))))
+    by = {bytes(r["digest"]): r for r in media.metadata(found).join(found.drop("length"), "key").collect()}
     for t in TEXTS:
         member = media.to_png(media.padded((t or "").encode()))
         r = by[hashlib.sha256(member).digest()]

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
-from cloudloom.llm import htmlextract, queries, urlfilter, warc
+from cloudloom.llm import htmlextract, queries, shared, urlfilter, warc
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -37,7 +38,10 @@ def test_queries_equal_their_sql(spark, sample, name):
         ("http://example.com/en/8", "example.com", "/en/8", "com/en/", "block"), ("http://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"),
         ("http://a.example.net/de/81", "a.example.net", "/de/81", "example.net/de/8", "block"), ("http://x.net/de/9", "x.net", "/de/9", "net/de/", "allow"),
         ("https://org/es/", "org", "/es/", "org/es/", "block"), ("https://org/EN", "org", "/EN", None, "allow"),
-        ("http://casino.fr/a", "casino.fr", "/a", None, "block"), ("http://casinos.fr/a", "casinos.fr", "/a", None, "allow"),
+        ("http://casino.fr/a", "casino.fr", "/a", None, "block"), ("http://casinos.fr/a", "casinos.fr", "/a", None, "block"), ("http://casinova.fr/a", "casinova.fr", "/a", None, "allow"),
+        ("http://freeporn.fr/", "freeporn.fr", "/", None, "block"), ("http://pornhubs.fr/", "pornhubs.fr", "/", None, "allow"),
+        ("http://free-software.fr/download", "free-software.fr", "/download", None, "allow"), ("http://farm.fr/loan", "farm.fr", "/loan", None, "allow"),
+        ("http://track.fr/win", "track.fr", "/win", None, "allow"), ("http://bet.fr/bets", "bet.fr", "/bets", None, "allow"), ("http://free.fr/poker-slots", "free.fr", "/poker-slots", None, "block"),
         ("http://cheap.fr/a", "cheap.fr", "/a", None, "allow"), ("http://cheap.fr/cheap", "cheap.fr", "/cheap", None, "allow"), ("http://cheap.fr/PILLS", "cheap.fr", "/PILLS", None, "block"),
         ("x://h#/casino", "h", "", None, "allow"), ("http://a/b?c://d", "a", "/b", None, "allow"), ("http://é.fr/é", "é.fr", "/é", None, "allow"),
     ],
@@ -47,6 +51,12 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert tuple(urlfilter.filter_urls(df).first()) == (1, host, path, rule, verdict)
 
 
+def test_repeated_urls_null_ids_and_long_urls(spark):
+    long = "http://h.fr/" + "a/" * 200_000 + "casino"
+    got = urlfilter.filter_urls(pages(spark, [(1, "http://xxx.fr", None), (1, "http://xxx.fr", None), (None, "http://a.fr", None), (2, long, None)])).collect()
+    assert sorted((str(r["id"]), r["verdict"]) for r in got) == [("1", "block"), ("1", "block"), ("2", "block"), ("None", "allow")]
+
+
 def test_urls_of_an_empty_table(spark):
     assert urlfilter.filter_urls(pages(spark, [])).collect() == []
 
@@ -62,9 +72,71 @@ def test_held_out_pages():
     assert exact >= 0.95 * len(held)
 
 
-def test_documents_pages_give_their_articles(spark, sample):
-    for r in htmlextract.extract(spark.read.parquet(f"{sample}/pages.parquet")).collect():
-        assert r["n_chars"] == len(r["text"]) > 0 and "©" not in r["text"]
+class Article(HTMLParser):
+    """The blocks of a page's article element, by the standard library's parser."""
+
+    ENDS = frozenset("p h1 h2 h3 li ul div table tr td blockquote section article".split())
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.raw, self.part, self.blocks = False, 0, [], []
+        self.feed(source)
+        self.end()
+
+    def end(self):
+        if text := " ".join("".join(self.part).split()):
+            self.blocks.append(text)
+        self.part = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.raw += tag in ("script", "style")
+        if tag in self.ENDS:
+            self.end()
+        if tag == "br":
+            self.part.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.ENDS:
+            self.end()
+        self.inside &= tag != "article"
+        self.raw -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.raw:
+            self.part.append(data)
+
+
+def test_pages_of_the_table_give_their_articles_exactly(spark, sample):
+    df = spark.read.parquet(f"{sample}/pages.parquet")
+    want = {r["page_id"]: "\n".join(Article(r["html"] or "").blocks) for r in df.collect()}
+    got = {r["id"]: r for r in htmlextract.extract(df).collect()}
+    assert {k: r["text"] for k, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+_PLAIN = "The harbour was quiet that morning, and the boats lay still on grey water while gulls turned above the long stone pier without a sound. "
+_BLOCKS = ["Title of it", (_PLAIN * 3).strip(), "Part two", (_PLAIN * 2).strip(), "Short one.", "first thing here", "second thing here", (_PLAIN * 2).strip()]
+_ARTICLE = "<h1>{}</h1><p>{}</p><h2>{}</h2><p>{}</p><p>{}</p><ul><li>{}</li><li>{}</li></ul><p>{}</p>".format(*_BLOCKS)
+_LINKS = "<ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in "Home News Sport Culture Travel About".split()) + "</ul>"
+_SIDE = "<h3>Most read</h3><ul>" + "".join(f'<li><a href="/x">{w} in the news today</a></li>' for w in "Storm Market Theatre Football".split()) + "</ul>"
+_NOTES = "".join(f"<div class=c1><b>{w}</b><p>{t}</p></div>" for w, t in (("Ann", "I liked this piece a lot."), ("Bob", "Not sure about the second part."), ("Cem", "Thanks for writing it."), ("Dee", "Where was the photo taken?")))
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div class=hd>The Daily Site {_LINKS}</div><div class=row><div class=col-8>{_ARTICLE}</div><div class=col-4>{_SIDE}</div></div><div class=ft>&copy; 2020 The Daily Site. All rights reserved.</div>",
+        f"<table><tr><td class=menu>{_LINKS}</td><td>{_ARTICLE}</td><td>{_SIDE}</td></tr></table>",
+        f"<nav>{_LINKS}</nav><article>{_ARTICLE}</article><div class=x9><h3>4 replies</h3>{_NOTES}</div><footer>&copy; x</footer>",
+        f"<nav>{_LINKS}</nav><div class=wrap>{_ARTICLE}<div class=x9><h3>4 replies</h3>{_NOTES}</div></div><footer>&copy; x</footer>",
+        f"<header><h1>The Daily Site</h1></header><main><article>{_ARTICLE}</article><aside>{_SIDE}</aside></main><footer><p>Imprint and contact</p></footer>",
+        _ARTICLE,
+        f"<div class='cookie-notice'><p>We use cookies to make this site work.</p><button>OK</button></div><div id=content>{_ARTICLE}</div><form action=/s><p>Sign up for our letter</p><input></form>",
+    ],
+)
+def test_pages_written_by_hand_give_exact_texts(body):
+    assert text_of(f"<html><body>{body}</body></html>") == "\n".join(_BLOCKS)
 
 
 def test_markup_references_and_white_space():
@@ -123,6 +195,16 @@ def test_warc_round_trip(spark):
     assert by[9][0]["url"] is None and by[7][0]["url"] == "" and by[8][0]["url"] == "x%20y%0A"
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_archives_are_read_by_as_many_tasks_as_there_are(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "joined_to_few", lambda a, b, key: shared.joined_to_few(a, b, key, few))
+    df = pages(spark, [(k, "u", f"text {k % 40}") for k in range(120)]).repartition(6)
+    archives = warc.write_archives(df)
+    read = warc.read_archives(archives)
+    tasks = read.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert tasks >= min(4, archives.count()) and read.count() == 120 and read.where("record_type = 'response'").count() == 40
+
+
 def test_small_payloads_are_all_responses(spark):
     got = warc.round_trip(pages(spark, [(1, "a", "xx"), (2, "b", "xx"), (3, "c", "yyyy"), (4, "d", "yyyy")]), min_revisit_bytes=4).collect()
     assert sorted((r["page_id"], r["record_type"]) for r in got) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]

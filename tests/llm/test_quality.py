@@ -32,7 +32,7 @@ def test_statistics_equal_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), SCHEMA)
     for r in quality.judge(df).collect():
         want = brute(TEXTS[r["doc_id"]])
-        assert tuple(r["stats"]) == want, repr((TEXTS[r["doc_id"]] or "")[:40])
+        assert tuple(r["stats"]) == want[:5], repr((TEXTS[r["doc_id"]] or "")[:40])
         assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
         assert not (r["kept"] and r["base_failed"])
 
@@ -40,7 +40,7 @@ def test_statistics_equal_brute_force(spark):
 def test_statistics_on_documents(spark, sample):
     docs = spark.read.parquet(f"{sample}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert {r["doc_id"]: tuple(r["stats"]) for r in quality.judge(docs).collect()} == {k: brute(t) for k, t in texts.items()}
+    assert {r["doc_id"]: tuple(r["stats"]) for r in quality.judge(docs).collect()} == {k: brute(t)[:5] for k, t in texts.items()}
 
 
 def test_cascade_and_verdicts_agree_in_any_order(spark, sample):
@@ -67,6 +67,45 @@ def test_clean_text_stays_and_junk_goes(spark):
     assert quality.keep_good(df.limit(0)).collect() == [] and quality.judge(df.limit(0)).collect() == []
 
 
+def test_a_rule_is_not_worked_out_after_a_rejection(spark):
+    """A rule that would fail the query if it ran: behind a rule that rejects every row, and behind the base rules."""
+    bomb = lambda get: F.raise_error(F.lit("worked out")).cast("boolean")
+    df = spark.createDataFrame([(k, "few words") for k in range(5)], SCHEMA)
+    sure = quality.Rule("sure", lambda get: get("n_words") >= 0)
+    text = F.col("text")
+    assert {r[0] for r in df.select(quality.first_rejection(text, [sure, quality.Rule("bomb", bomb)])).collect()} == {"sure"}
+    quality.STATISTICS["bomb"] = lambda text, w: F.when(F.size(w) < 100, F.raise_error(F.lit("worked out")).cast("long")).otherwise(0)
+    try:
+        rule = quality.Rule("bomb", lambda get: get("bomb") > 0)
+        good = " ".join(f"word{k}" for k in range(200))
+        both = df.unionByName(spark.createDataFrame([(9, good)], SCHEMA))
+        # the order is measured on long texts alone, where the statistic holds
+        ordered = quality.order_rules(spark.createDataFrame([(good,)], "text string"), [rule])
+        assert ordered == [rule]
+        real, quality.order_rules = quality.order_rules, lambda texts, rules: list(rules)
+        try:
+            assert {r["doc_id"]: r["kept"] for r in quality.judge(both, rules=[rule]).collect()} == {**dict.fromkeys(range(5), False), 9: True}
+        finally:
+            quality.order_rules = real
+    finally:
+        del quality.STATISTICS["bomb"]
+
+
+def test_rules_cost_and_selectivity_set_the_order(spark):
+    """Of two rules that reject the same rows the cheap one goes first; one that rejects nothing goes last."""
+    df = spark.createDataFrame([(" ".join(f"w{k}" for k in range(3000)) + " a a",)] * 40, "text string")
+    dear = quality.Rule("a_dear", lambda get: get("n_repeat_words") >= 0)
+    cheap = quality.Rule("b_cheap", lambda get: get("n_symbols") >= 0)
+    never = quality.Rule("c_never", lambda get: get("n_words") < 0)
+    assert [r.name for r in quality.order_rules(df, [never, dear, cheap])] == ["b_cheap", "a_dear", "c_never"]
+
+
+def test_columns_of_the_cascades_own_names_stay(spark):
+    df = spark.createDataFrame([(1, " ".join(f"word{k}" for k in range(30)))], SCHEMA).withColumns({"judged": F.lit(7), "_judged": F.lit(8), "__judged": F.lit(9)})
+    r = quality.judge(df).first()
+    assert (r["judged"], r["_judged"], r["__judged"], r["kept"]) == (7, 8, 9, True)
+
+
 def test_no_python_runs_on_the_main_path(spark, sample):
     docs = spark.read.parquet(f"{sample}/documents.parquet")
     for df in (quality.judge(docs), quality.keep_good(docs)):

@@ -187,6 +187,68 @@ def test_unigram_pass_finds_the_best_score():
     assert pieces.merged("▁the") == ["▁the"]
 
 
+def message(*fields):
+    """A protocol-buffer message of (number, value): int, float or bytes."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out += bytes([n & 127 | 128])
+            n >>= 7
+        return out + bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, int):
+            out += varint(number * 8) + varint(value)
+        elif isinstance(value, float):
+            out += varint(number * 8 + 5) + struct.pack("<f", value)
+        else:
+            out += varint(number * 8 + 2) + varint(len(value)) + value
+    return out
+
+
+def unigram_file(tmp_path, normalizer=((1, b"identity"), (3, 1), (4, 0), (5, 1)), kind=1):
+    """A model file of a few pieces with scores written by hand."""
+    scores = {"▁": -2.0, "a": -3.0, "b": -3.5, "c": -4.25, "ab": -4.0, "ba": -5.5, "aba": -7.75, "▁a": -4.1, "▁ab": -5.2, "bc": -5.0, "cab": -8.1}
+    pieces = [((1, b"<unk>"), (2, 0.0), (3, 2)), *[((1, p.encode()), (2, s)) for p, s in scores.items()]]
+    path = tmp_path / "hand.model"
+    trainer = ((3, kind), (40, 0), (41, (1 << 64) - 1), (42, (1 << 64) - 1), (43, (1 << 64) - 1))
+    path.write_bytes(message(*[(1, message(*p)) for p in pieces], (2, message(*trainer)), (3, message(*normalizer))))
+    return str(path)
+
+
+def test_viterbi_of_a_unigram_file_equals_the_library(spark, tmp_path):
+    path = unigram_file(tmp_path)
+    chance = random.Random(6)
+    texts = [None, "", " ", *["".join(chance.choice("aabbcc ") for _ in range(chance.randint(1, 30))) for _ in range(400)]]
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    encoded = spm.encode(df, path)
+    score = lambda ids: round(sum(model.get_score(i) for i in ids), 3)
+    for r in encoded.collect():
+        want = model.encode(texts[r["id"]] or "")
+        assert r["ids"] == want or score(r["ids"]) == score(want), texts[r["id"]]
+    assert {r["id"]: r["text"] for r in spm.decode(encoded, path).collect()} == {k: t or "" for k, t in enumerate(texts)}
+    assert spm.kind_of(path) == "unigram" and spm.kind_of(PIECE) == "bpe"
+
+
+def test_models_that_change_texts_are_refused(tmp_path):
+    import pytest
+
+    for normalizer, kind in ((((1, b"nmt_nfkc"), (2, b"xx"), (4, 0)), 1), (((3, 1), (4, 1)), 2), (((3, 0), (4, 0)), 2), (((3, 1), (4, 0)), 4)):
+        with pytest.raises(ValueError):
+            spm.Pieces(unigram_file(tmp_path, normalizer, kind))
+
+
+def test_repeated_rows_and_null_ids_of_counts_and_pieces(spark):
+    df = spark.createDataFrame([(1, "some words"), (1, "some words"), (None, "more"), (None, None)], SCHEMA)
+    assert sorted(r["n_tokens"] for r in tokencount.count_tokens(df).collect()) == sorted(len(x) for x in library(BYTE, ["some words", "some words", "more", ""]))
+    got = sorted((str(r["id"]), len(r["ids"])) for r in spm.encode(df).collect())
+    assert [k for k, _ in got] == ["1", "1", "None", "None"] and got[0] == got[1] and got[2][1] == 0
+
+
 def test_ids_of_all_short_strings_of_latin_1():
     chance = random.Random(9)
     alphabet = [chr(k) for k in range(256)] + ["<|endoftext|>", "<|startoftext|>", "'ll", " "] * 8 + list(" .,!?") * 6
