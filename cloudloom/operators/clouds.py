@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import geometry as G
+from cloudloom.functions.names import free_names
 
 XYZ = ("x", "y", "z")
 NORMAL = ("nx", "ny", "nz")
@@ -44,13 +45,14 @@ def decimate(cloud: DataFrame, distance: float, late: bool = False) -> DataFrame
     is thinned before the shuffle. late: aggregate ids alone and fetch the rows of the survivors by a
     semi-join, which moves less where rows are wide and few survive; point_id must be unique then.
     """
-    keys = [F.col(f"i{n}") for n in XYZ]
-    rows = with_cells(finite_points(cloud), distance)
+    keys = free_names(cloud, "ix", "iy", "iz")  # the cloud's own columns of these names are attributes
+    rows = finite_points(cloud).withColumns({k: G.cell_index(F.col(n), distance) for k, n in zip(keys, XYZ, strict=True)})
     if late:
         ids = rows.groupBy(*keys).agg(F.min("point_id").alias("point_id"))
         return cloud.join(ids.select("point_id"), "point_id", "left_semi")
-    whole = F.struct("point_id", *[c for c in cloud.columns if c != "point_id"])
-    return rows.groupBy(*keys).agg(F.min(whole).alias("row") if _orderable(cloud) else F.min_by(whole, "point_id").alias("row")).select("row.*").select(*cloud.columns)
+    whole = F.struct("point_id", *[F.col(f"`{c}`") for c in cloud.columns if c != "point_id"])
+    best = F.min(whole) if _orderable(cloud) else F.min_by(whole, "point_id")
+    return rows.groupBy(*keys).agg(best.alias("row")).select("row.*").select(*[F.col(f"`{c}`") for c in cloud.columns])
 
 
 def _orderable(cloud: DataFrame) -> bool:
@@ -156,32 +158,34 @@ def validate(cloud: DataFrame, normal_length: bool = False, least: int = 3) -> D
     return found.select("n", error.isNull().alias("ok"), error.alias("error"), point.alias("point_id"))
 
 
-def nearest(targets: DataFrame, sources: DataFrame, cell: float | None = None, most_rings: int = 32) -> DataFrame:
+#: Rounds over cells around the targets, then the depth of the sources' tree and the levels taken at a time.
+NEAR_ROUNDS, TREE_DEPTH, TREE_STEP = 2, 18, 3
+
+
+def nearest(targets: DataFrame, sources: DataFrame, cell: float | None = None) -> DataFrame:
     """(target_id, source_id, distance2) with the exact nearest source of each target, of equally near ones the least id.
 
-    Sources are bucketed by grid cell. A target looks at the cells around its own, ring by ring; once it
-    has found a source within a cell's width, nothing nearer can be outside the cells that it saw.
-    Targets that are not settled go on with cells twice as wide, so far targets cost few rounds. The
-    first width keeps the fullest cell small, so dense places don't pair all their rows.
+    Sources are bucketed by grid cell. A target looks at the 27 cells around it; once it has found a source
+    within a cell's width, nothing nearer can be outside the cells that it saw. What NEAR_ROUNDS such
+    rounds, the second with cells twice as wide, don't settle is far from the sources: it goes down the
+    sources' octree, where only nodes whose box is no farther than the nearest source known so far stay.
+    Targets that aren't finite find nothing; without sources no target does.
     """
     # of sources at one place only the least id can be an answer
-    sources = finite_points(sources).groupBy(*XYZ).agg(F.min("point_id").alias("point_id"))
-    if not sources.isEmpty() and cell is None:
-        cell = _usual_cell(sources)
+    sources = finite_points(sources).groupBy(*XYZ).agg(F.min("point_id").alias("point_id")).checkpoint()
     t = targets.select(F.col("point_id").alias("target_id"), *[F.col(n).alias(f"t{n}") for n in XYZ])
     s = sources.select(F.col("point_id").alias("source_id"), *[F.col(n).alias(f"s{n}") for n in XYZ])
     if s.isEmpty():
         return t.limit(0).select("target_id", F.lit(None).cast("long").alias("source_id"), F.lit(0.0).alias("distance2"))
+    cell = cell or _usual_cell(sources)
     done: DataFrame | None = None
     left = t.where(G.is_finite(*cols(prefix="t")))
     offsets = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
     around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("abc", o, strict=True)]) for o in offsets]))
-    for _ in range(most_rings):
+    for _ in range(NEAR_ROUNDS):
         bucketed = s.withColumns({f"i{n}": F.floor(F.col(f"s{n}") / cell) for n in XYZ})
         seeking = left.withColumn("o", around).withColumns({f"i{n}": F.floor(F.col(f"t{n}") / cell) + F.col(f"o.{k}") for n, k in zip(XYZ, "abc", strict=True)}).drop("o")
-        d2 = G.dot(*[G.minus(cols(prefix="t"), cols(prefix="s"))] * 2)
-        best = F.min(F.struct(d2.alias("d2"), "source_id")).alias("best")
-        found = seeking.join(bucketed, ["ix", "iy", "iz"]).groupBy("target_id").agg(best)
+        found = seeking.join(bucketed, ["ix", "iy", "iz"]).groupBy("target_id").agg(_best())
         settled = found.where(F.sqrt("best.d2") <= cell).select("target_id", F.col("best.source_id").alias("source_id"), F.col("best.d2").alias("distance2"))
         settled = settled.checkpoint()
         done = settled if done is None else done.unionByName(settled)
@@ -189,7 +193,41 @@ def nearest(targets: DataFrame, sources: DataFrame, cell: float | None = None, m
         if left.isEmpty():
             return done
         cell *= 2
-    raise ValueError("targets are too far from all sources for so many rings")
+    return done.unionByName(_nearest_by_tree(left, sources))
+
+
+def _best() -> Column:
+    d2 = G.dot(*[G.minus(cols(prefix="t"), cols(prefix="s"))] * 2)
+    return F.min(F.struct(d2.alias("d2"), "source_id")).alias("best")
+
+
+def _nearest_by_tree(targets: DataFrame, sources: DataFrame) -> DataFrame:
+    """nearest() by branch and bound: a target keeps the nodes whose box is no farther than the nearest representative that it met."""
+    from cloudloom.operators import octree
+
+    row = extent(sources).first()
+    low = [row[f"min_{n}"] for n in XYZ]
+    half = max(row[f"max_{n}"] - v for n, v in zip(XYZ, low, strict=True)) / 2 or 1.0
+    place = sources.select("point_id", *[F.col(n).alias(f"s{n}") for n in XYZ], *[((F.col(n) - v) / half - 1.0).alias(n) for n, v in zip(XYZ, low, strict=True)])
+    coded = octree.with_codes(place, TREE_DEPTH).drop(*XYZ).checkpoint()
+    frontier = targets.withColumns({"code": F.lit(0).cast("long"), "best": F.lit(float("inf"))})
+    w = Window.partitionBy("target_id")
+    for depth in range(TREE_STEP, TREE_DEPTH + 1, TREE_STEP):
+        own = octree.prefix(F.col("code"), F.lit(depth), TREE_DEPTH)
+        nodes = coded.groupBy(own.alias("node")).agg(
+            F.min(F.struct("point_id", *[f"s{n}" for n in XYZ])).alias("r"), *[f(f"s{n}").alias(f"{f.__name__}_{n}") for n in XYZ for f in (F.min, F.max)]
+        )
+        nodes = nodes.withColumn("code", F.shiftright("node", 3 * TREE_STEP))
+        met = frontier.join(F.broadcast(nodes) if depth == TREE_STEP else nodes, "code")  # the first nodes are 8**TREE_STEP at most
+        t = cols(prefix="t")
+        to_rep = [a - F.col(f"r.s{n}") for a, n in zip(t, XYZ, strict=True)]
+        to_box = [F.greatest(F.col(f"min_{n}") - a, a - F.col(f"max_{n}"), F.lit(0.0)) for a, n in zip(t, XYZ, strict=True)]
+        met = met.select("target_id", *t, F.col("node").alias("code"), "best", G.dot(to_rep, to_rep).alias("reached"), G.dot(to_box, to_box).alias("least"))
+        met = met.withColumn("best", F.least("best", F.min("reached").over(w)))
+        # a box that rounding sets a little too far away must not go
+        frontier = met.where(F.col("least") <= F.col("best") * (1.0 + 1e-12)).drop("reached", "least").checkpoint()
+    found = frontier.join(coded.withColumnRenamed("point_id", "source_id"), "code").groupBy("target_id").agg(_best())
+    return found.select("target_id", F.col("best.source_id").alias("source_id"), F.col("best.d2").alias("distance2"))
 
 
 def _usual_cell(sources: DataFrame, most: int = 256) -> float:

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class NotConverged(RuntimeError):
+    """An iteration that ended before it reached its tolerance."""
+
+
 def multiply_vector(matrix: DataFrame, x: DataFrame) -> DataFrame:
     """(i, v) of matrix times x; rows without entries are missing, as zeros are."""
     right = x.select(F.col("i").alias("j"), F.col("v").alias("xv"))
@@ -35,14 +39,17 @@ def dot(x: DataFrame, y: DataFrame) -> float:
 
 
 def conjugate_gradient(matrix: DataFrame, b: DataFrame, rounds: int = 50, tolerance: float = 1e-10, report: Callable[[int, float], None] | None = None) -> DataFrame:
-    """(i, v) that solves matrix x = b for a symmetric positive matrix. Only scalars reach the driver; vectors are checkpointed."""
+    """(i, v) that solves matrix x = b for a symmetric positive matrix. Only scalars reach the driver; vectors are checkpointed.
+
+    Raises NotConverged if the residual is over tolerance times the length of b after so many rounds.
+    """
     x = b.select("i", F.lit(0.0).alias("v"))
     r = b.select("i", "v").checkpoint()
     p, rr = r, dot(r, r)
     stop = tolerance * tolerance * rr
     for k in range(rounds):
         if rr <= stop:
-            break
+            return x
         q = multiply_vector(matrix, p).checkpoint()
         step = rr / dot(p, q)
         x = axpy(x, p, step).checkpoint()
@@ -52,6 +59,8 @@ def conjugate_gradient(matrix: DataFrame, b: DataFrame, rounds: int = 50, tolera
         rr = new
         if report:
             report(k, rr)
+    if rr > stop:
+        raise NotConverged(f"a residual of {rr**0.5:.3g} after {rounds} rounds, where {stop**0.5:.3g} was asked for")
     return x
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +54,55 @@ def face_links(faces: DataFrame) -> DataFrame:
     return pairs.unionByName(more).distinct()
 
 
+#: Links that a task joins at a time before the first round.
+LOCAL_LINKS = 500_000
+
+
+def forests(links: DataFrame, u: str, v: str) -> DataFrame:
+    """Links (u, v), u > v, with the same components: each task's own links as stars around the least node that it knows of."""
+
+    def joined(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = parent.setdefault(x, x)
+            while parent[top] != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = root(x), root(y)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+        stars = [(x, r) for x in parent if (r := root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in stars], pa.int64()), pa.array([r for _, r in stars], pa.int64())], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([np.asarray(c) for c in batch.columns])
+            size += batch.num_rows
+            if size >= LOCAL_LINKS:
+                yield joined(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield joined(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    whole = links.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"))
+    return whole.mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame, nodes: DataFrame, node: str, most_rounds: int = 64) -> DataFrame:
-    """(node, comp) for each node: comp is the least node it is connected with. links: two columns of linked nodes.
+    """(node, comp) for each node: comp is the least node it is connected with. links: two columns of linked nodes, whole numbers.
 
-    Alternating star contraction: the number of rounds grows with the logarithm of the size, and no
-    round pairs the members of a component. Each round is checkpointed.
+    Each task first joins the links that it has, which leaves a star for each part of a component that
+    lies in one task; alternating star contraction joins the rest. The number of rounds grows with the
+    logarithm of what is left, and no round pairs the members of a component. Each round is checkpointed.
     """
     u, v = links.columns
-    now = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct().checkpoint()
+    now = forests(links, u, v).distinct().checkpoint()
     seen = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -135,7 +180,7 @@ def compact(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame
     used = vertices.join(corners(faces).select("vid").distinct(), "vid", "left_semi")
     numbered = with_places(used, ["vid"], "new")
     renamed = corners(faces).join(numbered.select("vid", "new"), "vid")
-    rings = renamed.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("k", F.col("new").cast("int").alias("v")))).alias("r"))
+    rings = renamed.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("k", F.col("new").alias("v")))).alias("r"))
     return numbered.drop("vid").withColumnRenamed("new", "vid").select("vid", *[c for c in vertices.columns if c != "vid"]), rings.select("fid", F.col("r.v").alias("vids"))
 
 

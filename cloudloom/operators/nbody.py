@@ -4,11 +4,17 @@ exact() works in blocks: a block of queries is broadcast, each batch of sources
 and the parts are summed. treecode() follows the octree level by level: a frontier of (query, node)
 rows is split into nodes far enough to stand for their points, leaves whose points are summed, and
 nodes to open. Each step is an equi-join on the parent node; no step pairs all queries with all points.
+
+A solver applies the operators again and again to the same points. For it, points are taken in groups
+(the shallowest cells with at most GROUP points), and which nodes are far from a whole group and which
+points are near it is found once: Interactions does it for points that fit in a task's memory, and
+GroupLists, with the same rule and the same results, in tables of any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +27,8 @@ from cloudloom.operators import octree
 XYZ = ("x", "y", "z")
 #: A node stands for its points from so many half widths away.
 FAR = 4.0
-#: Queries that are broadcast at a time.
-BLOCK = 4096
+#: Queries that are broadcast at a time, and points of a group that shares its interactions.
+BLOCK, GROUP = 65_536, 64
 #: By operator: the sources' attributes, the length of a result, and whether the kernel is continuous inside the width.
 KINDS = {"A": (("mx", "my", "mz"), 1, True), "AT": (("s",), 3, False), "G": (("mx", "my", "mz"), 3, False)}
 
@@ -54,40 +60,38 @@ def _out(size: int) -> list[str]:
 def exact(kind: str, queries: DataFrame, sources: DataFrame, width: float) -> DataFrame:
     """(point_id, value or vx, vy, vz) at each query (point_id, x, y, z), from all sources.
 
-    The work is queries times sources: for small query sets, and to check treecode().
+    The work is queries times sources: for small query sets, and to check treecode(). Queries are dealt to
+    blocks of about BLOCK; each is broadcast in turn and costs one pass over the sources.
     """
     attributes, size, _ = KINDS[kind]
     names = _out(size)
     spark = queries.sparkSession
     rows = sources.select(*XYZ, *attributes)
+    schema = "point_id long, " + ", ".join(f"{n} double" for n in names)
+    blocks = max(1, -(-queries.count() // BLOCK))
+    dealt = queries.select("point_id", *XYZ).withColumn("block", F.pmod(F.xxhash64("point_id"), F.lit(blocks)).cast("int")).checkpoint()
     parts = []
-    block: list[tuple] = []
-
-    def part(block: list[tuple]) -> DataFrame:
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in block], dtype=np.int64), np.array([r[1:] for r in block], dtype=float)))
+    for k in range(blocks):
+        block = dealt.where(F.col("block") == k).toPandas()
+        held = spark.sparkContext.broadcast((block["point_id"].to_numpy(np.int64), block[list(XYZ)].to_numpy(float)))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, at = held.value
             total = np.zeros((len(ids), size))
             for batch in batches:
                 p, a = _columns(batch, XYZ), _columns(batch, attributes)
-                for k in range(0, len(p), 1024):
-                    total += kernel(kind, at[:, None, :] - p[None, k : k + 1024], a[None, k : k + 1024], width).sum(axis=1)
+                for first in range(0, len(p), 512):
+                    for own in range(0, len(at), 1024):
+                        d = at[own : own + 1024, None, :] - p[None, first : first + 512]
+                        total[own : own + 1024] += kernel(kind, d, a[None, first : first + 512], width).sum(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(total[:, c].copy()) for c in range(size)]], ["point_id", *names])
 
-        return rows.mapInArrow(run, "point_id long, " + ", ".join(f"{n} double" for n in names))
-
-    for row in queries.select("point_id", *XYZ).toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == BLOCK:
-            parts.append(part(block))
-            block = []
-    if block or not parts:
-        parts.append(part(block))
+        sums = rows.mapInArrow(run, schema).groupBy("point_id").agg(*[F.sum(n).alias(n) for n in names])
+        parts.append(sums.checkpoint() if blocks > 1 else sums)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("point_id").agg(*[F.sum(n).alias(n) for n in names])
+    return out
 
 
 def _kernel_columns(kind: str, d: list, attributes: list, width: float) -> list:
@@ -110,13 +114,14 @@ def treecode(kind: str, queries: DataFrame, sources: DataFrame, width: float, de
     Node weights, which place a node's representative point, are the lengths of the sources' attributes.
     The frontier of each level is checkpointed: it is read three times. Nodes of the upper levels are
     few and are broadcast by adaptive execution; below them the join is dealt by the parent node.
+    Sources at one place are one source with the sum of their attributes, so such places fill no leaf.
     """
     attributes, size, _ = KINDS[kind]
     names = _out(size)
     length = F.sqrt(sum((F.col(a) * F.col(a) for a in attributes), F.lit(0.0)))
-    weighted = sources.select(*XYZ, *attributes).withColumn("__w", length).checkpoint()
+    weighted = sources.withColumn("w", length).groupBy(*XYZ).agg(*[F.sum(a).alias(a) for a in attributes], F.sum("w").alias("w")).checkpoint()
     nodes = octree.build(weighted, depth, cap).checkpoint()
-    moments = octree.node_moments(weighted, nodes, list(attributes), "__w", depth).checkpoint()
+    moments = octree.node_moments(weighted, nodes, list(attributes), "w", depth).checkpoint()
     leaf_points = octree.leaf_of(weighted, nodes, depth).select("leaf_depth", "leaf_code", *XYZ, *attributes).checkpoint()
     q = [F.col(f"q{k}") for k in XYZ]
     frontier = queries.select("point_id", *[F.col(k).alias(f"q{k}") for k in XYZ]).withColumns({"depth": F.lit(0), "up": F.lit(0).cast("long")})
@@ -143,7 +148,7 @@ def treecode(kind: str, queries: DataFrame, sources: DataFrame, width: float, de
 
 
 class Tree:
-    """A treecode's nodes as arrays, for clouds of a checked size: built once, its moments renewed on each call."""
+    """The octree of points that fit in memory, as arrays. Points stand in the order of their codes; `order` leads back."""
 
     def __init__(self, points: np.ndarray, depth: int = octree.MAX_DEPTH, cap: int = 8) -> None:
         cells = 1 << depth
@@ -154,96 +159,65 @@ class Tree:
                 code |= ((index[:, axis] >> level) & 1) << (3 * level + axis)
         self.order = np.argsort(code, kind="stable")
         self.points, sorted_code = points[self.order], code[self.order]
-        starts, ends, levels, children = [], [], [], []
-        todo = [(0, len(points), 0)]
+        starts, ends, levels, children, groups = [], [], [], [], []
+        todo = [(0, len(points), 0, True)]
         while todo:  # breadth first, a list of nodes per level
             below = []
-            for start, end, level in todo:
+            for start, end, level, ungrouped in todo:
                 me = len(starts)
                 starts.append(start)
                 ends.append(end)
                 levels.append(level)
                 children.append([])
-                if end - start > cap and level < depth:
+                leaf = end - start <= cap or level == depth
+                if ungrouped and (leaf or end - start <= GROUP):
+                    groups.append(me)
+                    ungrouped = False
+                if not leaf:
                     part = sorted_code[start:end] >> (3 * (depth - level - 1))
                     cut = np.flatnonzero(np.diff(part)) + 1
                     bounds = [0, *cut.tolist(), end - start]
-                    below += [(start + a, start + b, me) for a, b in zip(bounds, bounds[1:], strict=False)]
+                    below += [(start + a, start + b, me, ungrouped) for a, b in zip(bounds, bounds[1:], strict=False)]
             todo = []
-            for start, end, parent in below:
+            for start, end, parent, ungrouped in below:
                 children[parent].append(len(starts) + len(todo))
-                todo.append((start, end, levels[parent] + 1))
+                todo.append((start, end, levels[parent] + 1, ungrouped))
         self.start, self.end, self.level = (np.array(v, dtype=np.int64) for v in (starts, ends, levels))
         self.first = np.array([c[0] if c else 0 for c in children], dtype=np.int64)
         self.count = np.array([len(c) for c in children], dtype=np.int64)
         self.half = 2.0**-self.level
-
-    def moments(self, attributes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of the attributes and weighted mean positions of all nodes; attributes in the points' own order."""
-        a = attributes[self.order]
-        w = np.sqrt((a * a).sum(axis=1))
-        total = lambda v: np.concatenate((np.zeros((1, v.shape[1])), v.cumsum(axis=0)))
-        span = lambda c: c[self.end] - c[self.start]
-        sums, weight, moment = span(total(a)), span(total(w[:, None])), span(total(self.points * w[:, None]))
-        plain = span(total(self.points)) / (self.end - self.start)[:, None]
-        return sums, np.where(weight > 0, moment / np.where(weight > 0, weight, 1.0), plain)
-
-    def apply(self, kind: str, at: np.ndarray, attributes: np.ndarray, width: np.ndarray | float, far: float = FAR, moments=None) -> np.ndarray:
-        """The operator's values at the positions; attributes in the points' own order. Memory grows with the positions."""
-        sums, means = moments or self.moments(attributes)
-        a = attributes[self.order]
-        size = KINDS[kind][1]
-        out = np.zeros((len(at), size))
-
-        def add(rows: np.ndarray, values: np.ndarray) -> None:
-            for c in range(size):
-                out[:, c] += np.bincount(rows, values[:, c], len(at))
-
-        rows, nodes = np.arange(len(at)), np.zeros(len(at), dtype=np.int64)
-        while len(rows):
-            d = at[rows] - means[nodes]
-            away = (d * d).sum(axis=1) > (far * self.half[nodes]) ** 2
-            add(rows[away], kernel(kind, d[away], sums[nodes[away]], width))
-            rows, nodes = rows[~away], nodes[~away]
+        self.groups = np.array(sorted(groups, key=starts.__getitem__), dtype=np.int64)
+        self.mean = self.sums(self.points) / np.maximum(self.end - self.start, 1)[:, None]
+
+    def sums(self, attributes: np.ndarray) -> np.ndarray:
+        """Of each node the sum of its points' attributes, which stand in the tree's order."""
+        total = np.concatenate((np.zeros((1, attributes.shape[1])), attributes.cumsum(axis=0)))
+        return total[self.end] - total[self.start]
+
+    def interactions(self, group: int, far: float = FAR) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes that are far from all of a group, none in another, and the points that are left."""
+        own = self.points[self.start[group] : self.end[group]]
+        centre, radius = sphere(own)
+        nodes, far_nodes, near = np.zeros(1, dtype=np.int64), [], []
+        while len(nodes):
+            away = is_far(self.mean[nodes], self.half[nodes], centre, radius, far)
+            far_nodes.append(nodes[away])
+            nodes = nodes[~away]
             leaf = self.count[nodes] == 0
-            for picked, begin, n in ((leaf, self.start, self.end - self.start), (~leaf, self.first, self.count)):
-                r, k = rows[picked], nodes[picked]
-                many = n[k]
-                fanned = np.repeat(r, many)
-                place = np.repeat(begin[k] - np.concatenate(([0], many.cumsum()[:-1])), many) + np.arange(len(fanned)) if len(k) else k
-                if begin is self.start:
-                    if len(fanned):
-                        add(fanned, kernel(kind, at[fanned] - self.points[place], a[place], width))
-                else:
-                    next_rows, next_nodes = fanned, place
-            rows, nodes = next_rows, next_nodes
-        return out
-
-    def apply_blocks(self, kind: str, at: np.ndarray, attributes: np.ndarray, width: float, far: float = FAR, moments=None, block: int = 64) -> np.ndarray:
-        """apply() for positions in an order in which neighbours stand together, a block at a time.
-
-        A block shares one walk: a node stands for its points if it is far from all of the block, so no
-        position takes a coarser node than in apply(). The sums are dense then, without gathering.
-        """
-        sums, means = moments or self.moments(attributes)
-        a = attributes[self.order]
-        out = np.zeros((len(at), KINDS[kind][1]))
-        for first in range(0, len(at), block):
-            own = at[first : first + block]
-            centre = (own.min(axis=0) + own.max(axis=0)) / 2
-            radius = np.sqrt(((own - centre) ** 2).sum(axis=1).max())
-            nodes, far_nodes, near = np.zeros(1, dtype=np.int64), [], []
-            while len(nodes):
-                away = np.sqrt(((means[nodes] - centre) ** 2).sum(axis=1)) - radius > far * self.half[nodes]
-                far_nodes.append(nodes[away])
-                nodes = nodes[~away]
-                leaf = self.count[nodes] == 0
-                near.append(_ranges(self.start[nodes[leaf]], self.end[nodes[leaf]] - self.start[nodes[leaf]]))
-                nodes = _ranges(self.first[nodes[~leaf]], self.count[nodes[~leaf]])
-            f, p = np.concatenate(far_nodes), np.concatenate(near)
-            places, values = np.concatenate((means[f], self.points[p])), np.concatenate((sums[f], a[p]))
-            out[first : first + block] = dense(kind, own, places, values, width)
-        return out
+            near.append(_ranges(self.start[nodes[leaf]], self.end[nodes[leaf]] - self.start[nodes[leaf]]))
+            nodes = _ranges(self.first[nodes[~leaf]], self.count[nodes[~leaf]])
+        return np.concatenate(far_nodes), np.concatenate(near)
+
+
+def sphere(points: np.ndarray) -> tuple[np.ndarray, float]:
+    """The centre of the points' box and the radius around it that holds them all."""
+    centre = (points.min(axis=0) + points.max(axis=0)) / 2
+    return centre, float(np.sqrt(((points - centre) ** 2).sum(axis=1).max()))
+
+
+def is_far(means: np.ndarray, halves: np.ndarray, centre: np.ndarray, radius: np.ndarray | float, far: float = FAR) -> np.ndarray:
+    """Whether nodes, each at the plain mean of its points, can stand for their points at every place in the sphere."""
+    return np.sqrt(((means - centre) ** 2).sum(axis=1)) - radius > far * halves
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -253,18 +227,129 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate(([0], lengths.cumsum()[:-1])), lengths) + np.arange(lengths.sum())
 
 
-def dense(kind: str, at: np.ndarray, places: np.ndarray, values: np.ndarray, width: float) -> np.ndarray:
-    """Sums over all places at each position: kernel() axis by axis. einsum() starts no threads, of which each worker would start its own."""
-    d = [at[:, c, None] - places[None, :, c] for c in range(3)]
-    d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-    near = d2 < width * width
-    d2[near] = width * width
-    inverse2 = 1.0 / d2
-    cube = inverse2 * np.sqrt(inverse2)
-    if kind == "A":
-        return -sum(np.einsum("ij,ij,j->i", d[c], cube, values[:, c]) for c in range(3))[:, None]
-    cube[near] = 0.0
-    if kind == "AT":
-        return np.stack([np.einsum("ij,ij,j->i", d[c], cube, values[:, 0]) for c in range(3)], axis=1)
-    along = (d[0] * values[:, 0] + d[1] * values[:, 1] + d[2] * values[:, 2]) * cube * inverse2
-    return np.stack([np.einsum("ij,j->i", cube, values[:, c]) - 3.0 * np.einsum("ij,ij->i", d[c], along) for c in range(3)], axis=1)
+class Kernels:
+    """The kernels between the places of a group and its sources, to be applied to several attributes.
+
+    With places relative to the group's centre, each operator is a few products of one matrix of powers
+    of distances: differences of places are parted into the terms of the one and of the other.
+    """
+
+    def __init__(self, at: np.ndarray, places: np.ndarray, width: float) -> None:
+        centre = (at.min(axis=0) + at.max(axis=0)) / 2
+        self.x, self.y = at - centre, places - centre
+        d2 = np.zeros((len(at), len(places)))
+        for c in range(3):
+            d = self.x[:, c, None] - self.y[None, :, c]
+            d *= d
+            d2 += d
+        self.near = d2 < width * width
+        d2[self.near] = width * width
+        self.inverse2 = 1.0 / d2
+        self.cube = self.inverse2 * np.sqrt(self.inverse2)  # continuous inside the width
+        self.cut: np.ndarray | None = None
+
+    def _cut(self) -> np.ndarray:
+        """The cubes, zero inside the width."""
+        if self.cut is None:
+            self.cut = np.where(self.near, 0.0, self.cube)
+        return self.cut
+
+    def apply(self, kind: str, values: np.ndarray) -> np.ndarray:
+        x, y = self.x, self.y
+        if kind == "A":
+            p = self.cube @ np.column_stack((values, (y * values).sum(axis=1)))
+            return (p[:, 3] - (x * p[:, :3]).sum(axis=1))[:, None]
+        if kind == "AT":
+            p = self._cut() @ np.column_stack((values, y * values))
+            return x * p[:, :1] - p[:, 1:]
+        along = (y * values).sum(axis=1)
+        fifth = self._cut() * self.inverse2
+        p = fifth @ np.column_stack((values, along, (y[:, :, None] * values[:, None, :]).reshape(-1, 9), y * along[:, None]))
+        m = p[:, 4:13].reshape(-1, 3, 3)
+        spread = x * ((x * p[:, :3]).sum(axis=1) - p[:, 3])[:, None] - np.einsum("nkj,nj->nk", m, x) + p[:, 13:]
+        return self._cut() @ values - 3.0 * spread
+
+
+class Interactions:
+    """The operators on points in memory: interactions are found once a process and kept, sums are dense by group."""
+
+    def __init__(self, tree: Tree, far: float = FAR) -> None:
+        self.tree, self.far = tree, far
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, group: int) -> tuple[np.ndarray, np.ndarray]:
+        if group not in self.known:
+            self.known[group] = self.tree.interactions(group, self.far)
+        return self.known[group]
+
+    def apply(self, groups: np.ndarray, asked: list[tuple[str, np.ndarray, np.ndarray]], width: float) -> list[np.ndarray]:
+        """Of each (kind, attributes, their sums by node) the operator's values at the groups' points, in the tree's order."""
+        t = self.tree
+        out: list[list[np.ndarray]] = [[] for _ in asked]
+        for group in groups:
+            far, near = self.of(int(group))
+            kernels = Kernels(t.points[t.start[group] : t.end[group]], np.concatenate((t.mean[far], t.points[near])), width)
+            for part, (kind, attributes, sums) in zip(out, asked, strict=True):
+                part.append(kernels.apply(kind, np.concatenate((sums[far], attributes[near]))))
+        return [np.concatenate(part) for part in out]
+
+
+class GroupLists:
+    """Interactions in tables, for points (point_id, x, y, z) of any number in [-1, 1]**3.
+
+    far: (g, depth, code) and near: (g, depth, code) of leaves are found once, by a frontier of (group, node)
+    rows that opens level by level. An application joins them with the sums of the nodes and the points of
+    the leaves, and works out each group's dense sums in one task. A group and a leaf hold more points
+    than GROUP and cap only where more than that coincide.
+    """
+
+    def __init__(self, points: DataFrame, depth: int, cap: int, far: float = FAR) -> None:
+        self.depth, self.points = depth, points
+        self.nodes = octree.build(points, depth, cap).checkpoint()
+        means = octree.node_moments(points.withColumn("one", F.lit(1.0)), self.nodes, [], "one", depth)
+        self.means = means.select("depth", "code", "is_leaf", *[f"mean_{k}" for k in XYZ]).checkpoint()
+        grouped = octree.leaf_of(points, octree.build(points, depth, max(cap, GROUP)), depth)
+        g = (F.col("leaf_depth").cast("long") * F.lit(1 << 58) + F.col("leaf_code")).alias("g") if depth <= 15 else F.xxhash64("leaf_depth", "leaf_code").alias("g")
+        self.queries = grouped.select(g, "point_id", *XYZ).checkpoint()
+        leaves = octree.leaf_of(points, self.nodes, depth)
+        self.leaf_points = leaves.select("point_id", *XYZ, F.col("leaf_depth").alias("depth"), F.col("leaf_code").alias("code")).checkpoint()
+        box = self.queries.groupBy("g").agg(*[f(k).alias(f"{f.__name__}_{k}") for k in XYZ for f in (F.min, F.max)])
+        centre = box.select("g", *[((F.col(f"min_{k}") + F.col(f"max_{k}")) / 2).alias(f"c{k}") for k in XYZ])
+        off = [F.col(k) - F.col(f"c{k}") for k in XYZ]
+        spheres = self.queries.join(centre, "g").groupBy("g").agg(*[F.first(f"c{k}").alias(f"c{k}") for k in XYZ], F.sqrt(F.max(G.dot(off, off))).alias("radius"))
+        frontier = spheres.withColumn("up", F.lit(0).cast("long"))
+        far_parts, near_parts = [], []
+        for level in range(depth + 1):
+            own = self.means.where(F.col("depth") == level).withColumn("up", F.shiftright("code", 3) if level else F.col("code"))
+            d = [F.col(f"c{k}") - F.col(f"mean_{k}") for k in XYZ]
+            met = frontier.join(own, "up").drop("up").withColumn("far", F.sqrt(G.dot(d, d)) - F.col("radius") > far * 2.0**-level).checkpoint()
+            far_parts.append(met.where("far").select("g", "depth", "code"))
+            near_parts.append(met.where("not far and is_leaf").select("g", "depth", "code"))
+            frontier = met.where("not far and not is_leaf").select("g", *[f"c{k}" for k in XYZ], "radius", F.col("code").alias("up"))
+            if frontier.isEmpty():
+                break
+        union = lambda parts: reduce(DataFrame.unionByName, parts).checkpoint()
+        self.far, self.near = union(far_parts), union(near_parts)
+
+    def apply(self, kind: str, values: DataFrame, width: float) -> DataFrame:
+        """(point_id, value or vx, vy, vz) of the operator for values (point_id, attributes)."""
+        attributes, size, _ = KINDS[kind]
+        names = _out(size)
+        own = self.points.join(values, "point_id").withColumn("one", F.lit(1.0))
+        sums = octree.node_moments(own, self.nodes, list(attributes), "one", self.depth)
+        columns = [F.col(f"sum_{a}").alias(a) for a in attributes]
+        far = self.far.join(sums, ["depth", "code"]).select("g", *[F.col(f"mean_{k}").alias(k) for k in XYZ], *columns)
+        near = self.near.join(self.leaf_points, ["depth", "code"]).join(values, "point_id").select("g", *XYZ, *attributes)
+
+        def dense(queries: pa.Table, sources: pa.Table) -> pa.Table:
+            array = lambda t, names: np.column_stack([t.column(n).to_numpy() for n in names])
+            at, places, given = array(queries, XYZ), array(sources, XYZ), array(sources, attributes)
+            total = np.zeros((len(at), size))
+            for first in range(0, len(at), 256):  # bounded, also where many points coincide
+                for k in range(0, len(places), 16_384):
+                    total[first : first + 256] += Kernels(at[first : first + 256], places[k : k + 16_384], width).apply(kind, given[k : k + 16_384])
+            return pa.table({"point_id": queries.column("point_id"), **{n: total[:, c] for c, n in enumerate(names)}})
+
+        sources = far.unionByName(near).withColumnRenamed("g", "own")
+        grouped = self.queries.groupBy("g").cogroup(sources.groupBy("own"))
+        return grouped.applyInArrow(dense, "point_id long, " + ", ".join(f"{n} double" for n in names))

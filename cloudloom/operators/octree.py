@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions import geometry as G
+from cloudloom.functions.names import free_names
 
 MAX_DEPTH = 15
 LEAF_CAP = 4
@@ -22,8 +23,9 @@ def prefix(code: Column, depth: Column, finest: int) -> Column:
 
 def with_codes(cloud: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     # cell indices are columns of their own first: written out in each bit's place they would not fit a method
-    cells = cloud.withColumns({f"__{c}": G.axis_code(F.col(c), depth) for c in "xyz"})
-    return cells.withColumn("code", G.interleave(*[F.col(f"__{c}") for c in "xyz"], depth)).drop("__x", "__y", "__z")
+    own = free_names(cloud, "cell_x", "cell_y", "cell_z")
+    cells = cloud.withColumns({n: G.axis_code(F.col(c), depth) for n, c in zip(own, "xyz", strict=True)})
+    return cells.withColumn("code", G.interleave(*[F.col(n) for n in own], depth)).drop(*own)
 
 
 def prefix_counts(cloud: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
@@ -98,15 +100,17 @@ def in_preorder(nodes: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
 def with_places(df: DataFrame, order: list[str], name: str = "place", parts: int | None = None) -> DataFrame:
     """df with its rows' places, from 0, in this order, which must be total: ranks in range partitions plus their offsets."""
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
-    sizes = ranged.groupBy("__part").count().orderBy("__part").collect()  # one row a partition
-    offsets, total = {}, 0
+    part, before = free_names(df, "part", "before")
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy(part).count().orderBy(part).collect()  # one row a partition
+    offsets, total = [], 0
     for row in sizes:
-        offsets[row["__part"]] = total
+        offsets.append((row[part], total))
         total += row["count"]
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    table = F.create_map(*[F.lit(v) for pair in offsets.items() for v in pair]) if offsets else F.create_map(F.lit(0), F.lit(0))
-    return ranged.withColumn(name, own.cast("long") + table[F.col("__part")].cast("long")).drop("__part")
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    table = df.sparkSession.createDataFrame(offsets, f"{part} int, {before} long")
+    placed = ranged.withColumn(name, own.cast("long")).join(F.broadcast(table), part)
+    return placed.withColumn(name, F.col(name) + F.col(before)).drop(part, before)
 
 
 def depth_index(nodes: DataFrame) -> DataFrame:

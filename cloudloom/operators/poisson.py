@@ -9,7 +9,6 @@ but not the same vertices.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 
 
@@ -39,8 +38,10 @@ class Options:
 
     def resolved(self) -> Options:
         """These options, checked; the kernel depth follows the grid's."""
-        if self.degree not in (1, 2) or self.boundary not in (1, 2, 3):
-            raise ValueError("degree is 1 or 2; boundary is 1 (free), 2 (Dirichlet) or 3 (Neumann)")
+        if self.degree != 1:
+            raise ValueError("degree is 1: the grid's stencil has no other")
+        if self.boundary not in (1, 2, 3):
+            raise ValueError("boundary is 1 (free), 2 (Dirichlet) or 3 (Neumann)")
         if not 1 <= self.depth <= 9:
             raise ValueError("depth is from 1 to 9")
         return self
@@ -243,14 +244,18 @@ def v_cycle(x: np.ndarray, b: np.ndarray, s: np.ndarray, boundary: str, sweeps:
     return x
 
 
-def solve_grid(b: np.ndarray, s: np.ndarray, boundary: str, rounds: int = 200, tolerance: float = 1e-6) -> np.ndarray:
-    """Cascadic start from coarse grids, then conjugate gradients with a multigrid cycle as preconditioner."""
-    x = np.zeros_like(b) if len(b) <= 2 else up_sample(solve_grid(down_sample(b), down_sample(s), boundary, 3))
+def solve_grid(b: np.ndarray, s: np.ndarray, boundary: str, rounds: int = 200, tolerance: float = 1e-6, start: bool = False) -> np.ndarray:
+    """Cascadic start from coarse grids, then conjugate gradients with a multigrid cycle as preconditioner.
+
+    Raises NotConverged if the residual is over tolerance times the length of b after so many rounds, but
+    where the result is only the start of a finer grid.
+    """
+    x = np.zeros_like(b) if len(b) <= 2 else up_sample(solve_grid(down_sample(b), down_sample(s), boundary, 3, tolerance, True))
     r = b - apply_laplacian(x, boundary) - s * x
     limit, p, rho = tolerance * np.linalg.norm(b), None, 0.0
-    for _ in range(min(rounds, 60)):
+    for _ in range(rounds):
         if np.linalg.norm(r) <= limit:
-            break
+            return x
         z = v_cycle(np.zeros_like(r), r, s, boundary)
         new = float((r * z).sum())
         p = z if p is None or rho == 0 else z + max(0.0, new / rho) * p
@@ -259,6 +264,8 @@ def solve_grid(b: np.ndarray, s: np.ndarray, boundary: str, rounds: int = 200, t
         if curve <= 0:
             break
         x, r, rho = x + new / curve * p, r - new / curve * q, new
+    if not start and np.linalg.norm(r) > limit:
+        raise linalg.NotConverged(f"a residual of {np.linalg.norm(r):.3g} after {rounds} rounds, where {limit:.3g} was asked for")
     return x
 
 
@@ -363,37 +370,71 @@ def level_set(grid: DataFrame, iso: float, depth: int) -> tuple[DataFrame, DataF
     vertices = with_places(edges.select("a", "b", *[v.alias(c) for v, c in zip(place, "xyz", strict=True)]), ["a", "b"], "vid")
     ids = loops.join(vertices.select("a", "b", "vid"), ["a", "b"])
     rings = ids.groupBy("cube", "loop").agg(F.sort_array(F.collect_list(F.struct("k", "vid"))).alias("r"))  # at most 12 corners
-    faces = with_places(rings.select("cube", "loop", F.col("r.vid").cast("array<int>").alias("vids")), ["cube", "loop"], "fid")
+    faces = with_places(rings.select("cube", "loop", F.col("r.vid").alias("vids")), ["cube", "loop"], "fid")
     return vertices.select("vid", "x", "y", "z"), faces.select("fid", "vids")
 
 
+#: Corners of a ring that is triangulated at once; longer rings are parted by short chords first.
+MOST_CORNERS = 256
+
+
 def polygon_triangles(points: np.ndarray) -> list[tuple[int, int, int]]:
-    """The triangulation of a polygon in space with the least total area, by dynamic programming over its chords."""
+    """The triangulation of a polygon in space with the least total area, by dynamic programming over its chords.
+
+    That takes n**3 steps. A ring of over MOST_CORNERS corners is first parted along the shortest of the
+    chords that leave a quarter of it on either side, tried from 64 corners, until its parts are short: a
+    whole triangulation, each part of least area, but not the least of all.
+    """
+    out: list[tuple[int, int, int]] = []
+    todo = [np.arange(len(points))]
+    while todo:
+        ring = todo.pop()
+        n = len(ring)
+        if n <= MOST_CORNERS:
+            out += [(int(ring[a]), int(ring[b]), int(ring[c])) for a, b, c in _least_area(points[ring])]
+            continue
+        own = points[ring]
+        starts, steps = np.unique(np.linspace(0, n - 1, 64).astype(int)), np.arange(n // 4, n - n // 4 + 1)
+        ends = (starts[:, None] + steps) % n
+        length = ((own[ends] - own[starts][:, None]) ** 2).sum(axis=2)
+        k, j = divmod(int(length.argmin()), len(steps))
+        a, b = sorted((int(starts[k]), int(ends[k, j])))
+        todo += [ring[a : b + 1], np.concatenate((ring[b:], ring[: a + 1]))]
+    return out
+
+
+def _least_area(points: np.ndarray) -> list[tuple[int, int, int]]:
     n = len(points)
     if n < 3:
         return []
-    area = lambda a, b, c: float(np.linalg.norm(np.cross(points[b] - points[a], points[c] - points[a]))) / 2
-    best: dict[tuple[int, int], tuple[float, int]] = defaultdict(lambda: (0.0, -1))
+    if n == 3:
+        return [(0, 1, 2)]
+    cost, middle = np.zeros((n, n)), np.zeros((n, n), dtype=np.int64)
     for gap in range(2, n):
-        for a in range(n - gap):
-            c = a + gap
-            best[a, c] = min((best[a, b][0] + best[b, c][0] + area(a, b, c), b) for b in range(a + 1, c))
+        a = np.arange(n - gap)
+        b, c = a[:, None] + np.arange(1, gap), a + gap
+        u, v = points[b] - points[a][:, None], (points[c] - points[a])[:, None]
+        x, y, z = u[..., 1] * v[..., 2] - u[..., 2] * v[..., 1], u[..., 2] * v[..., 0] - u[..., 0] * v[..., 2], u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+        total = cost[a[:, None], b] + cost[b, c[:, None]] + np.sqrt(x * x + y * y + z * z) / 2
+        best = total.argmin(axis=1)
+        cost[a, c], middle[a, c] = total[a, best], a + 1 + best
     out, todo = [], [(0, n - 1)]
     while todo:
         a, c = todo.pop()
         if c - a >= 2:
-            b = best[a, c][1]
+            b = int(middle[a, c])
             out.append((a, b, c))
             todo += [(a, b), (b, c)]
     return out
 
 
 def triangulate(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(fid, vids) with all faces as triangles of least area; faces under three corners go. New ids are old id * 64 + part.
+    """(fid, vids) with all faces as triangles of least area; faces under three corners go. New ids are places in the order of the old ones.
 
     A face goes to Python with its corners' places; faces here have few corners.
     """
     from cloudloom.operators.mesh import corners
+    from cloudloom.operators.octree import with_places
 
     rings = corners(faces, vertices.select("vid", "x", "y", "z")).groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("k", "vid", "x", "y", "z"))).alias("ring"))
 
@@ -402,10 +443,11 @@ def triangulate(faces: DataFrame, vertices: DataFrame) -> DataFrame:
             out = []
             for fid, ring in zip(frame["fid"], frame["ring"], strict=True):
                 points = np.array([[r["x"], r["y"], r["z"]] for r in ring])
-                out += [(fid * 64 + k, [int(ring[v]["vid"]) for v in t]) for k, t in enumerate(polygon_triangles(points))]
-            yield pd.DataFrame(out, columns=["fid", "vids"])
+                out += [(fid, k, [int(ring[v]["vid"]) for v in t]) for k, t in enumerate(polygon_triangles(points))]
+            yield pd.DataFrame(out, columns=["old", "part", "vids"])
 
-    return rings.mapInPandas(run, "fid long, vids array<int>")
+    parts = rings.mapInPandas(run, "old long, part int, vids array<bigint>")
+    return with_places(parts, ["old", "part"], "fid").select("fid", "vids")
 
 
 def reconstruct(cloud: DataFrame, options: Options | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,43 +18,64 @@ TRIM_THRESHOLD, ISLAND_RATIO = 7.0, 0.001
 MOST_FACES = 50_000
 
 
+def merge_graph(area: dict[int, float], links: dict[int, set[int]], limit: float) -> dict[int, int]:
+    """Where each component ends after small ones are merged; area and links are changed to what is left.
+
+    The smallest component that still has neighbours, of equal areas the least, is merged while its area is
+    under the limit: it and all its other neighbours go into its least neighbour, which keeps its side and
+    gets their neighbours.
+    """
+    into = {c: c for c in area}
+    heap = [(a, c) for c, a in area.items() if links[c]]
+    heapq.heapify(heap)
+    while heap:
+        a, c = heapq.heappop(heap)
+        if into[c] != c or a != area[c] or not links[c]:
+            continue  # merged or grown since
+        if a >= limit:
+            break
+        to, *others = sorted(links.pop(c))
+        for gone in (c, *others):
+            into[gone] = to
+            area[to] += area[gone]
+            for near in links.pop(gone, ()):
+                links[near].discard(gone)
+                if near != to and near != c and near not in others:
+                    links[to].add(near)
+                    links[near].add(to)
+            links[gone] = set()
+        for near in (c, *others):
+            links[to].discard(near)
+        if links[to]:
+            heapq.heappush(heap, (area[to], to))
+    for c in into:
+        end = c
+        while into[end] != end:
+            end = into[end]
+        while into[c] != end:  # shorten the way for those that come after
+            into[c], c = end, into[c]
+    return into
+
+
 def merge_islands(components: DataFrame, adjacency: DataFrame, ratio: float = ISLAND_RATIO) -> DataFrame:
-    """(comp, into, above, lone): where each component (comp, above, area) ends after merging small ones.
+    """(comp, into, above, lone): where each component (comp, above, area) ends after merging small ones (see merge_graph).
 
-    The smallest component that still has neighbours goes into its least neighbour while its area is
-    under ratio times the whole area; it takes that side and its other neighbours come along. Of equal
-    areas the least component goes first. The order matters, so one task merges all; a component is one
-    row there, with its neighbours, whatever its number of faces. lone: small, and without neighbours.
+    The limit is ratio times the whole area. Merges in parts of the graph that don't meet don't touch each
+    other, so each connected part is one task's, a component one row there with its neighbours, whatever its
+    number of faces; within a part the order matters. lone: small, and without neighbours.
     """
     near = adjacency.groupBy(F.col("comp")).agg(F.sort_array(F.collect_set("near")).alias("near"))
-    rows = components.join(near, "comp", "left").withColumn("g", F.lit(0))
+    whole = components.agg(F.sum("area")).first()[0] or 0.0
+    parts = mesh.components(adjacency.select(F.col("comp").alias("a"), F.col("near").alias("b")), components.select(F.col("comp").alias("node")), "node")
+    parts = parts.select(F.col("node").alias("comp"), F.col("comp").alias("g"))
+    rows = components.select("comp", "above", "area").join(near, "comp", "left").join(parts, "comp")
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        area = dict(zip(frame["comp"], frame["area"], strict=True))
-        above = dict(zip(frame["comp"], frame["above"], strict=True))
-        links = {c: set(n) if n is not None else set() for c, n in zip(frame["comp"], frame["near"], strict=True)}
-        into = {c: c for c in area}
-        limit = ratio * sum(area.values())
-        while True:
-            small = [(area[c], c) for c in area if into[c] == c and links[c]]
-            if not small or min(small)[0] >= limit:
-                break
-            _, c = min(small)
-            to = min(links[c])
-            into[c] = to
-            area[to] += area[c]
-            for other in links.pop(c):
-                links[other].discard(c)
-                if other != to:
-                    links[other].add(to)
-                    links[to].add(other)
-            links[c] = set()
-        out = []
-        for c in area:
-            end = c
-            while into[end] != end:
-                end = into[end]
-            out.append((c, end, above[end], not links[end] and area[end] < limit))
+        area = dict(zip(frame["comp"].tolist(), frame["area"].tolist(), strict=True))
+        above = dict(zip(frame["comp"].tolist(), frame["above"].tolist(), strict=True))
+        links = {c: {int(x) for x in n} if n is not None else set() for c, n in zip(frame["comp"].tolist(), frame["near"], strict=True)}
+        into = merge_graph(area, links, ratio * whole)
+        out = [(c, end, above[end], not links[end] and area[end] < ratio * whole) for c, end in into.items()]
         return pd.DataFrame(out, columns=["comp", "into", "above", "lone"])
 
     return rows.groupBy("g").applyInPandas(merge, "comp long, into long, above boolean, lone boolean")
@@ -97,30 +120,31 @@ def boundary_loops(faces: DataFrame) -> DataFrame:
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         following: dict[int, list[int]] = {}
-        for a, b in sorted(zip(frame["a"], frame["b"], strict=True)):
-            following.setdefault(a, []).append(b)
+        for a, b in sorted(zip(frame["a"].tolist(), frame["b"].tolist(), strict=True), reverse=True):
+            following.setdefault(a, []).append(b)  # the least comes last
         out = []
-        while following:
-            path = [min(following)]
-            while path[-1] in following:
-                at = path[-1]
-                nxt = following[at].pop(0)
-                if not following[at]:
-                    del following[at]
-                if nxt in path:  # a ring is closed; what came before it goes on
-                    ring = path[path.index(nxt) :]
-                    del path[path.index(nxt) + 1 :]
+        for start in sorted(following):
+            while following.get(start):
+                path, place = [start], {start: 0}
+                while following.get(path[-1]):
+                    nxt = following[path[-1]].pop()
+                    if nxt not in place:
+                        place[nxt] = len(path)
+                        path.append(nxt)
+                        continue
+                    ring = path[place[nxt] :]  # a ring is closed; what came before it goes on
+                    for v in ring[1:]:
+                        del place[v]
+                    del path[place[nxt] + 1 :]
                     if len(ring) >= 3:
                         out.append((min(ring), len(out), ring))
-                else:
-                    path.append(nxt)
         return pd.DataFrame(out, columns=["loop", "part", "vids"])
 
     return groups.groupBy("g").applyInPandas(walk, "loop long, part int, vids array<bigint>")
 
 
 def fill_holes(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """faces with every boundary loop closed by its triangulation of least area."""
+    """faces with every boundary loop closed by its triangulation (polygon_triangles): of least area up to MOST_CORNERS edges."""
     rings = boundary_loops(faces)
     corner = rings.select("loop", "part", F.posexplode("vids").alias("k", "vid")).join(vertices.select("vid", "x", "y", "z"), "vid")
     rings = corner.groupBy("loop", "part").agg(F.sort_array(F.collect_list(F.struct("k", "vid", "x", "y", "z"))).alias("ring"))
@@ -133,9 +157,9 @@ def fill_holes(vertices: DataFrame, faces: DataFrame) -> DataFrame:
                 out += [(loop, part, k, [int(ring[v]["vid"]) for v in t]) for k, t in enumerate(polygon_triangles(points))]
             yield pd.DataFrame(out, columns=["loop", "part", "k", "vids"])
 
-    new = with_places(rings.mapInPandas(fill, "loop long, part int, k int, vids array<int>"), ["loop", "part", "k"], "n")
+    new = with_places(rings.mapInPandas(fill, "loop long, part int, k int, vids array<bigint>"), ["loop", "part", "k"], "n")
     top = faces.agg(F.coalesce(F.max("fid"), F.lit(-1))).first()[0]
-    return faces.select("fid", F.col("vids").cast("array<int>").alias("vids")).unionByName(new.select((F.col("n") + top + 1).alias("fid"), "vids"))
+    return faces.select("fid", F.col("vids").cast("array<bigint>").alias("vids")).unionByName(new.select((F.col("n") + top + 1).alias("fid"), "vids"))
 
 
 def stitch(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -143,7 +167,7 @@ def stitch(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     least = vertices.groupBy("x", "y", "z").agg(F.min("vid").alias("to"))
     to = vertices.join(least, ["x", "y", "z"]).select("vid", "to")
     c = mesh.corners(faces).join(to, "vid")
-    rings = c.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("k", F.col("to").cast("int").alias("v")))).alias("r"))
+    rings = c.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("k", F.col("to").cast("long").alias("v")))).alias("r"))
     return rings.select("fid", F.col("r.v").alias("vids")).where(F.size(F.array_distinct("vids")) >= 3)
 
 
@@ -163,7 +187,7 @@ def simplify(vertices: DataFrame, faces: DataFrame, cell: float) -> tuple[DataFr
     cells = vertices.groupBy(*keys).agg(F.min("vid").alias("to"), *[F.avg(c).alias(c) for c in "xyz"])
     to = vertices.select("vid", *keys).join(cells.select("ix", "iy", "iz", "to"), ["ix", "iy", "iz"]).select("vid", "to")
     c = mesh.corners(faces).join(to, "vid")
-    rings = c.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("k", F.col("to").cast("int").alias("v")))).alias("r"))
+    rings = c.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("k", F.col("to").cast("long").alias("v")))).alias("r"))
     rings = rings.select("fid", F.col("r.v").alias("vids")).where(F.size(F.array_distinct("vids")) == F.size("vids"))
     first = rings.groupBy(F.sort_array("vids").alias("s")).agg(F.min(F.struct("fid", "vids")).alias("f"))
     return mesh.compact(cells.select(F.col("to").alias("vid"), "x", "y", "z"), first.select("f.*"))

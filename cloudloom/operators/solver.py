@@ -1,14 +1,16 @@
 """Globally consistent normals by annealed steepest descent on the winding-number equation.
 
-Each of the iterations makes four passes: r = AT(0.5 - A mu), the step length <r, r> / <A r, A r>, the
-update, and new directions from G mu at kept lengths. The driver loop holds scalars only where the
-cloud is large; a cloud of at most `most_local` points, checked by a count, is small enough to be
-broadcast whole, and its passes are one map over slices of the points each.
+An iteration makes r = AT(0.5 - A mu), the step length <r, r> / <A r, A r>, the update, and new directions
+from G mu at kept lengths. As G is linear, G of the update is made of G mu and G r, which are worked out in
+the passes that make A mu and A r: three passes an iteration. What interacts with what is found once
+(nbody.Interactions); a cloud of at most `most_local` points, checked by a count, has its attributes
+broadcast for each pass, and a larger one keeps them in tables, by the same rule and with the same results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -22,8 +24,8 @@ ITERATIONS = 40
 #: Least and greatest smoothing width of each preset.
 WIDTHS = {"l0": (0.002, 0.016), "l1": (0.01, 0.04), "l2": (0.02, 0.08), "l3": (0.03, 0.12), "l4": (0.04, 0.16), "l5": (0.05, 0.2)}
 MOST_LOCAL = 500_000
-#: Points in a slice of a local pass.
-SLICE = 1024
+#: Groups of a slice of a local pass, at least.
+SLICE = 8
 
 
 def widths(preset: str, low: float | None = None, high: float | None = None) -> tuple[float, float]:
@@ -48,16 +50,19 @@ def residual_norms(r: DataFrame, ar: DataFrame) -> DataFrame:
     return rr.join(ar.agg(F.coalesce(F.sum(F.col("value") * F.col("value")), F.lit(0.0)).alias("arar")))
 
 
-def iterate(mu: np.ndarray, apply: Callable[[str, np.ndarray, float], np.ndarray], width: float) -> np.ndarray | None:
-    """One iteration on arrays; None where A r is zero. apply(kind, attributes, width) is an operator at all points."""
-    defect = 0.5 - (apply("A", mu, width) if mu.any() else np.zeros((len(mu), 1)))
-    r = apply("AT", defect, width)
-    ar = apply("A", r, width)
+Asked = list[tuple[str, np.ndarray]]
+
+
+def iterate(mu: np.ndarray, apply: Callable[[Asked, float], list[np.ndarray]], width: float) -> np.ndarray | None:
+    """One iteration on arrays; None where A r is zero. apply([(kind, attributes), ...], width) gives operators' values at all points."""
+    a, turned = apply([("A", mu), ("G", mu)], width) if mu.any() else (np.zeros((len(mu), 1)), np.zeros_like(mu))
+    (r,) = apply([("AT", 0.5 - a)], width)
+    ar, turned_r = apply([("A", r), ("G", r)], width)
     square = float((ar * ar).sum())
     if square == 0.0:
         return None
-    mu = mu + float((r * r).sum()) / square * r
-    turned = apply("G", mu, width)
+    step = float((r * r).sum()) / square
+    mu, turned = mu + step * r, turned + step * turned_r
     length = np.sqrt((mu * mu).sum(axis=1, keepdims=True))
     size = np.sqrt((turned * turned).sum(axis=1, keepdims=True))
     return np.where(size > G.EPSILON, turned / np.where(size > 0, size, 1.0) * length, 0.0)
@@ -75,69 +80,72 @@ def estimate_normals(
     return _distributed(points, iterations, low, high, cap, depth, progress)
 
 
+_kept: dict[str, nbody.Interactions] = {}
+
+
+def _interactions(name: str, tree: nbody.Tree) -> nbody.Interactions:
+    """The worker's interactions of a solve; those of earlier solves go."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = nbody.Interactions(tree)
+    return _kept[name]
+
+
 def _local(points: DataFrame, iterations: int, low: float, high: float, cap: int, depth: int, progress) -> DataFrame:
     spark = points.sparkSession
+    context = spark.sparkContext
     rows = points.orderBy("point_id").toPandas()
-    at = rows[["x", "y", "z"]].to_numpy(float)
-    tree = nbody.Tree(at, depth, cap)
-    held = spark.sparkContext.broadcast(tree)
-    slices = spark.range(0, len(at), SLICE, numPartitions=max(1, min(spark.sparkContext.defaultParallelism, -(-len(at) // SLICE))))
-
-    def apply(kind: str, attributes: np.ndarray, width: float) -> np.ndarray:
-        attributes = attributes if attributes.ndim == 2 else attributes[:, None]
-        sent = spark.sparkContext.broadcast((attributes, tree.moments(attributes)))
-        size = nbody.KINDS[kind][1]
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            t, (a, moments) = held.value, sent.value
-            for frame in frames:
-                for first in frame["id"]:
-                    own = slice(first, first + SLICE)  # neighbours in the tree's order visit the same nodes
-                    values = t.apply_blocks(kind, t.points[own], a, width, moments=moments)
-                    yield pd.DataFrame({"first": [first], "values": [values.ravel().tobytes()]})
-
-        out = np.empty((len(at), size))
-        for r in slices.mapInPandas(run, "first long, values binary").collect():
-            v = np.frombuffer(r["values"]).reshape(-1, size)
-            out[tree.order[r["first"] : r["first"] + len(v)]] = v
+    tree = nbody.Tree(rows[["x", "y", "z"]].to_numpy(float), depth, cap)
+    held, name = context.broadcast(tree), uuid.uuid4().hex
+    weight = (tree.end - tree.start)[tree.groups].cumsum()
+    parts = max(1, min(context.defaultParallelism, len(tree.groups) // SLICE))
+    bounds = np.searchsorted(weight, np.linspace(0, weight[-1] if len(weight) else 0, parts + 1)[1:-1])
+    # jobs are many and short here: a plan for each would cost more than the work
+    slices = context.parallelize([g.tolist() for g in np.split(tree.groups, bounds)], parts)
+
+    def apply(asked: Asked, width: float) -> list[np.ndarray]:
+        sent = context.broadcast([(kind, a, tree.sums(a)) for kind, a in asked])
+
+        def run(part) -> list[list[bytes]]:
+            return [[v.tobytes() for v in _interactions(name, held.value).apply(groups, sent.value, width)] for groups in part if groups]
+
+        found = slices.mapPartitions(run).collect()
         sent.destroy()
-        return out
+        sizes = [nbody.KINDS[kind][1] for kind, _ in asked]
+        return [np.concatenate([np.frombuffer(f[k]).reshape(-1, size) for f in found]) for k, size in enumerate(sizes)]
 
-    if len(at) <= 4 * SLICE:  # too little for a job per pass to pay
-        apply = lambda kind, a, width: tree.apply(kind, at, a if a.ndim == 2 else a[:, None], width)
-    mu = np.zeros((len(at), 3))
+    mu = np.zeros((len(rows), 3))  # in the tree's order
     for k in range(iterations):
         width = annealed(k, iterations, low, high)
-        new = iterate(mu, apply, width)
+        new = iterate(mu, apply, width) if len(rows) else None
         if new is None:
             break
         mu = new
         if progress:
             progress(k, width)
     length = np.sqrt((mu * mu).sum(axis=1, keepdims=True))
-    unit = np.where(length > G.EPSILON, mu / np.where(length > 0, length, 1.0), 0.0)
+    unit = np.empty_like(mu)
+    unit[tree.order] = np.where(length > G.EPSILON, mu / np.where(length > 0, length, 1.0), 0.0)
     out = pd.DataFrame({"point_id": rows["point_id"].astype("int64"), "nx": unit[:, 0], "ny": unit[:, 1], "nz": unit[:, 2]})
     return spark.createDataFrame(out, "point_id long, nx double, ny double, nz double")
 
 
 def _distributed(points: DataFrame, iterations: int, low: float, high: float, cap: int, depth: int, progress) -> DataFrame:
-    mu = points.withColumns({c: F.lit(0.0) for c in ("mx", "my", "mz")}).checkpoint()
-    run = lambda kind, sources, width: nbody.treecode(kind, points, sources, width, depth, cap)
+    points = points.checkpoint()
+    lists = nbody.GroupLists(points, depth, cap)
+    mu = points.select("point_id", *[F.lit(0.0).alias(c) for c in ("mx", "my", "mz")]).checkpoint()
     for k in range(iterations):
         width = annealed(k, iterations, low, high)
-        a = run("A", mu, width)
-        defect = points.join(a, "point_id", "left").withColumn("s", 0.5 - F.coalesce("value", F.lit(0.0)))
-        r = run("AT", defect, width).checkpoint()
-        sources = points.join(r, "point_id").withColumnsRenamed({"vx": "mx", "vy": "my", "vz": "mz"})
-        norms = residual_norms(r, run("A", sources, width)).first()
+        defect = lists.apply("A", mu, width).select("point_id", (0.5 - F.col("value")).alias("s"))
+        r = lists.apply("AT", defect, width).checkpoint()
+        norms = residual_norms(r, lists.apply("A", r.withColumnsRenamed({f"v{c}": f"m{c}" for c in "xyz"}), width)).first()
         if not norms["arar"]:
             break
         step = norms["rr"] / norms["arar"]
-        moved = mu.join(r, "point_id").withColumns({f"m{c}": F.col(f"m{c}") + step * F.col(f"v{c}") for c in "xyz"}).drop("vx", "vy", "vz").checkpoint()
-        g = run("G", moved, width)
+        moved = mu.join(r, "point_id").select("point_id", *[(F.col(f"m{c}") + step * F.col(f"v{c}")).alias(f"m{c}") for c in "xyz"]).checkpoint()
         v, m = [F.col(f"v{c}") for c in "xyz"], [F.col(f"m{c}") for c in "xyz"]
-        turned = {f"m{c}": F.when(G.norm(v) > G.EPSILON, F.col(f"v{c}") / G.norm(v) * G.norm(m)).otherwise(0.0) for c in "xyz"}
-        mu = moved.join(g, "point_id").withColumns(turned).drop("vx", "vy", "vz").checkpoint()
+        turned = [F.when(G.norm(v) > G.EPSILON, F.col(f"v{c}") / G.norm(v) * G.norm(m)).otherwise(0.0).alias(f"m{c}") for c in "xyz"]
+        mu = moved.join(lists.apply("G", moved, width), "point_id").select("point_id", *turned).checkpoint()
         if progress:
             progress(k, width)
     unit = G.normalized([F.col(f"m{c}") for c in "xyz"])

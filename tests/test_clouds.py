@@ -44,6 +44,27 @@ def test_decimation_drops_bad_points_and_rejects_bad_widths(spark):
         clouds.finite_points(df, "fail").collect()
 
 
+def test_decimation_keeps_attributes_of_any_name(spark):
+    df = cloud(spark, [(0, 0, 0), (0.01, 0, 0), (3, 3, 3)]).withColumns({"ix": F.lit(777), "iy": F.lit("b"), "_iz": F.lit(1.5), "iz": F.lit(2.5), "a.b": F.lit(9)})
+    for late in (False, True):
+        got = clouds.decimate(df, 0.05, late).orderBy("point_id").collect()
+        assert [(r["point_id"], r["ix"], r["iy"], r["_iz"], r["iz"], r["a.b"]) for r in got] == [(0, 777, "b", 1.5, 2.5, 9), (2, 777, "b", 1.5, 2.5, 9)]
+
+
+def test_far_targets_find_their_nearest_source(spark):
+    """Targets in a heap far from all sources: they go down the tree, and no cell holds them all with all sources."""
+    at, sources = random_cloud(spark, 500, seed=1)
+    far = np.random.default_rng(2).normal(size=(60, 3)) * 3 + [400, -900, 50]
+    targets = cloud(spark, [*far.tolist(), (math.nan, 0, 0), (0, 0, 0), (1e9, 1e9, 1e9)])
+    got = {r["target_id"]: r["source_id"] for r in clouds.nearest(targets, sources).collect()}
+    places = [*far, None, np.zeros(3), np.full(3, 1e9)]
+    assert 60 not in got and len(got) == 62
+    for k, p in enumerate(places):
+        if p is not None:
+            d = ((at - p) ** 2).sum(axis=1)
+            assert abs(d[got[k]] - d.min()) <= 1e-9 * d.min()
+
+
 def test_packed_keys(spark):
     rows = [(10, 20, 30), (10, 20, 30), (20, 10, 30), (-5, -10, -15), (5, 10, 15), (10 + 2**21, 20, 30)]
     df = spark.createDataFrame(rows, "a int, b int, c int").select(G.pack_key(F.col("a"), F.col("b"), F.col("c")).alias("k"))

@@ -52,6 +52,142 @@ def test_polygon_areas(spark):
     assert poisson.triangulate(faces, vertices).count() == 3 + 1
 
 
+def test_triangles_of_large_polygons_have_ids_of_their_own(spark):
+    ring = lambda n, z: [(np.cos(2 * np.pi * k / n), np.sin(2 * np.pi * k / n), z) for k in range(n)]
+    points = ring(100, 0.0) + ring(70, 1.0) + ring(3, 2.0)
+    vertices = spark.createDataFrame([(k + (1 << 33), *map(float, p)) for k, p in enumerate(points)], "vid long, x double, y double, z double")
+    rings = [list(range(100)), list(range(100, 170)), list(range(170, 173))]
+    faces = spark.createDataFrame([(k + 5, [(1 << 33) + v for v in r]) for k, r in enumerate(rings)], "fid long, vids array<bigint>")
+    got = poisson.triangulate(faces, vertices).collect()
+    assert len(got) == 98 + 68 + 1 and sorted(r["fid"] for r in got) == list(range(167))
+    v, f = mesh.compact(vertices, poisson.triangulate(faces, vertices))
+    assert f.count() == 167 and f.where("size(vids) = 3").count() == 167 and v.count() == 173
+
+
+def least_area(points):
+    """The least area of all triangulations, by trying every one."""
+    area = lambda a, b, c: np.linalg.norm(np.cross(points[b] - points[a], points[c] - points[a])) / 2
+
+    def best(a, c):
+        return 0.0 if c - a < 2 else min(best(a, b) + best(b, c) + area(a, b, c) for b in range(a + 1, c))
+
+    return best(0, len(points) - 1)
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 8])
+def test_triangulations_have_the_least_area(n):
+    points = np.random.default_rng(n).normal(size=(n, 3))
+    got = poisson.polygon_triangles(points)
+    area = sum(np.linalg.norm(np.cross(points[b] - points[a], points[c] - points[a])) / 2 for a, b, c in got)
+    assert len(got) == n - 2 and abs(area - least_area(points)) < 1e-9
+
+
+@pytest.mark.parametrize("n", [2000, 20_000])
+def test_long_rims_are_filled_whole(n):
+    k = np.arange(n) * 2 * np.pi / n
+    points = np.column_stack([np.cos(k), np.sin(k), 0.01 * np.cos(9 * k)])
+    got = poisson.polygon_triangles(points)
+    edges = {}
+    for t in got:
+        for a, b in zip(t, (*t[1:], t[0]), strict=True):
+            edges[a, b] = edges.get((a, b), 0) + 1
+    assert len(got) == n - 2 and max(edges.values()) == 1
+    assert {(a, b) for a, b in edges if (b, a) not in edges} == {(a, (a + 1) % n) for a in range(n)}
+
+
+def test_a_hole_of_two_thousand_edges_is_closed(spark):
+    n = 2000
+    at = [(np.cos(2 * np.pi * k / n), np.sin(2 * np.pi * k / n), z) for z in (0.0, 1.0) for k in range(n)]
+    vertices = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(at)], "vid long, x double, y double, z double")
+    sides = [t for k in range(n) for t in ([k, (k + 1) % n, n + k], [(k + 1) % n, n + (k + 1) % n, n + k])]
+    faces = spark.createDataFrame(list(enumerate(sides)), "fid long, vids array<int>")
+    full = repair.fill_holes(vertices, faces).checkpoint()
+    assert mesh.is_closed(full).first()["closed"] and full.count() == 2 * n + 2 * (n - 2) and mesh.euler(full).first()["characteristic"] == 2
+
+
+def plain_merge(area, links, limit):
+    """The program's island merge, restated over lists: the least neighbour stands first."""
+    area, links, holds = dict(area), {c: sorted(n) for c, n in links.items()}, {c: [c] for c in area}
+    while True:
+        small = [(area[c], c) for c in area if holds[c] and links[c]]
+        if not small or min(small)[0] >= limit:
+            break
+        c = min(small)[1]
+        near = sorted(links[c])
+        for x in near:
+            links[x] = [y for y in links[x] if y != c]
+        first = near[0]
+        area[first] += area[c]
+        holds[first] += holds[c]
+        for x in near[1:]:
+            area[first] += area[x]
+            holds[first] += holds[x]
+            for y in links[x]:
+                links[y] = [z for z in links[y] if z != x]
+                if y != first and y not in links[first]:
+                    links[first].append(y)
+                    links[y].append(first)
+            area[x], links[x], holds[x] = 0, [], []
+        links[c], holds[c], area[c] = [], [], 0
+        links[first] = [y for y in links[first] if y not in near]
+    return {x: c for c, h in holds.items() for x in h}
+
+
+def test_island_merges_equal_a_plain_restatement():
+    chance = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(chance.integers(2, 14))
+        below = chance.integers(1, n)  # components of one side don't touch each other
+        links = {c: set() for c in range(n)}
+        for a in range(below):
+            for b in range(below, n):
+                if chance.random() < 0.35:
+                    links[a].add(b)
+                    links[b].add(a)
+        area = {c: float(chance.integers(1, 40)) for c in range(n)}
+        want = plain_merge(area, links, 25.0)
+        assert repair.merge_graph(dict(area), {c: set(x) for c, x in links.items()}, 25.0) == want
+
+
+def test_a_small_component_takes_its_other_neighbours_along(spark):
+    comps = spark.createDataFrame([(0, False, 50.0), (1, True, 0.05), (2, False, 0.01), (3, True, 100.0)], "comp long, above boolean, area double")
+    near = spark.createDataFrame([(2, 1), (1, 2), (2, 3), (3, 2), (1, 0), (0, 1)], "comp long, near long")
+    got = {r["comp"]: (r["into"], r["above"], r["lone"]) for r in repair.merge_islands(comps, near).collect()}
+    assert got == {0: (0, False, False), 1: (1, True, False), 2: (1, True, False), 3: (1, True, False)}
+
+
+def test_iterations_that_do_not_converge_raise(spark):
+    rows = [(i, j, 2.0 if i == j else -1.0) for i in range(30) for j in range(30) if abs(i - j) <= 1]
+    m = spark.createDataFrame(rows, "i long, j long, v double")
+    b = spark.createDataFrame([(i, float(i * i)) for i in range(30)], "i long, v double")
+    with pytest.raises(linalg.NotConverged):
+        linalg.conjugate_gradient(m, b, 2)
+    grid = np.random.default_rng(0).normal(size=(8, 8, 8))
+    with pytest.raises(linalg.NotConverged):
+        poisson.solve_grid(grid, np.zeros_like(grid), "dirichlet", rounds=1, tolerance=1e-12)
+    x = poisson.solve_grid(grid, np.zeros_like(grid), "dirichlet", rounds=100, tolerance=1e-10)
+    assert np.linalg.norm(poisson.apply_laplacian(x, "dirichlet") - grid) <= 1e-10 * np.linalg.norm(grid)
+
+
+def test_components_over_many_tasks_equal_union_find(spark, monkeypatch):
+    monkeypatch.setattr(mesh, "LOCAL_LINKS", 5)
+    chance = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in chance.integers(0, 120, (80, 2))] + [(k, k + 1) for k in range(200, 300)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    nodes = spark.range(310).withColumnRenamed("id", "n")
+    root = list(range(310))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert {r["n"]: r["comp"] for r in mesh.components(links, nodes, "n").collect()} == {k: find(k) for k in range(310)}
+
+
 def test_every_cube_case_gives_closed_oriented_loops():
     for case in range(256):
         loops = poisson.cube_loops(case)
@@ -89,7 +225,7 @@ def test_reconstruction_of_a_sphere(spark, boundary):
 
 
 def test_bad_options_are_refused():
-    for o in (poisson.Options(degree=3), poisson.Options(boundary=0), poisson.Options(depth=0)):
+    for o in (poisson.Options(degree=3), poisson.Options(degree=2), poisson.Options(boundary=0), poisson.Options(depth=0)):
         with pytest.raises(ValueError):
             o.resolved()
 

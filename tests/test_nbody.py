@@ -17,23 +17,72 @@ def brute(kind, at, attributes, width):
     return nbody.kernel(kind, at[:, None] - at[None], a[None], width).sum(axis=1)
 
 
+def plain_treecode(kind, at, attributes, width, depth, cap, far=4.0):
+    """Node by node for each query, as the program's kernels are told: far if over far half widths from the weighted mean."""
+    a = attributes[:, 3:] if kind == "AT" else attributes[:, :3]
+    w = np.sqrt((a * a).sum(axis=1))
+    out = np.zeros((len(at), nbody.KINDS[kind][1]))
+
+    def visit(own, centre, half, level, queries):
+        mean = (at[own] * w[own, None]).sum(axis=0) / w[own].sum()
+        away = ((at[queries] - mean) ** 2).sum(axis=1) > (far * half) ** 2
+        out[queries[away]] += nbody.kernel(kind, at[queries[away]] - mean, a[own].sum(axis=0)[None], width)
+        queries = queries[~away]
+        if not len(queries):
+            return
+        if len(own) <= cap or level == depth:
+            out[queries] += nbody.kernel(kind, at[queries][:, None] - at[own][None], a[own][None], width).sum(axis=1)
+            return
+        side = at[own] >= centre
+        for code in np.unique(side, axis=0):
+            child = own[(side == code).all(axis=1)]
+            visit(child, centre + np.where(code, half / 2, -half / 2), half / 2, level + 1, queries)
+
+    visit(np.arange(len(at)), np.zeros(3), 1.0, 0, np.arange(len(at)))
+    return out
+
+
 @pytest.mark.parametrize("kind", ["A", "AT", "G"])
-def test_exact_sums_and_treecode(spark, kind):
+def test_exact_sums_and_treecode(spark, kind, monkeypatch):
     at, df = random_cloud(spark, 250, kind="sphere")
     attributes, df = with_attributes(df)
     want = brute(kind, at, attributes, 0.05)
     got = nbody.exact(kind, df, df, 0.05).orderBy("point_id").drop("point_id").toPandas().to_numpy()
     assert np.allclose(got, want)
+    monkeypatch.setattr(nbody, "BLOCK", 100)
+    got = nbody.exact(kind, df, df, 0.05).orderBy("point_id").drop("point_id").toPandas().to_numpy()
+    assert np.allclose(got, want)
     tree = nbody.treecode(kind, df, df, 0.05, 6, 4).orderBy("point_id").drop("point_id").toPandas().to_numpy()
-    local = nbody.Tree(at, 6, 4).apply(kind, at, attributes[:, 3:] if kind == "AT" else attributes[:, :3], 0.05)
-    assert np.allclose(tree, local)
-    t = nbody.Tree(at, 6, 4)
-    blocks = t.apply_blocks(kind, t.points, attributes[:, 3:] if kind == "AT" else attributes[:, :3], 0.05, block=16)
-    assert np.linalg.norm(blocks - want[t.order]) < 0.02 * np.linalg.norm(want)
-    assert np.allclose(nbody.dense(kind, at, at, attributes[:, 3:] if kind == "AT" else attributes[:, :3], 0.05), want)
+    assert np.allclose(tree, plain_treecode(kind, at, attributes, 0.05, 6, 4))
     assert np.linalg.norm(tree - want) < 0.02 * np.linalg.norm(want)
 
 
+@pytest.mark.parametrize("kind", ["A", "AT", "G"])
+def test_interactions_of_groups(spark, kind, monkeypatch):
+    monkeypatch.setattr(nbody, "GROUP", 16)
+    at, df = random_cloud(spark, 600, kind="sphere")
+    attributes, df = with_attributes(df)
+    a = attributes[:, 3:] if kind == "AT" else attributes[:, :3]
+    want = brute(kind, at, attributes, 0.05)
+    assert np.allclose(nbody.Kernels(at, at, 0.05).apply(kind, a), want)
+    t = nbody.Tree(at, 8, 4)
+    own = a[t.order]
+    (got,) = nbody.Interactions(t).apply(t.groups, [(kind, own, t.sums(own))], 0.05)
+    assert np.linalg.norm(got - want[t.order]) < 0.02 * np.linalg.norm(want)
+    far = [t.interactions(int(g))[0] for g in t.groups]
+    assert any(len(f) for f in far) and sorted(np.concatenate([np.arange(t.start[g], t.end[g]) for g in t.groups])) == list(range(600))
+    lists = nbody.GroupLists(df.select("point_id", "x", "y", "z"), 8, 4)
+    tables = lists.apply(kind, df.drop("x", "y", "z"), 0.05).orderBy("point_id").drop("point_id").toPandas().to_numpy()
+    assert np.allclose(tables[t.order], got)
+
+
+def test_many_sources_at_one_place_are_one_source(spark):
+    df = cloud(spark, [(0.5, 0.5, 0.5)] * 300 + [(-0.5, 0.0, 0.0)]).withColumns({"mx": F.lit(0.1), "my": F.lit(0.0), "mz": F.lit(0.0)})
+    got = {r["point_id"]: r["value"] for r in nbody.treecode("A", df.where("point_id = 300"), df, 0.05, 6, 4).collect()}
+    d = np.array([-1.0, -0.5, -0.5])
+    assert abs(got[300] - 300 * -(d[0] * 0.1) / np.linalg.norm(d) ** 3) < 1e-9
+
+
 def test_a_is_the_winding_number_of_a_closed_surface(spark):
     n = 2000
     k = np.arange(n) + 0.5
@@ -60,8 +109,9 @@ def test_normals_of_the_unit_sphere_point_outward(spark):
     assert ((n * at).sum(axis=1) > 0).all()
 
 
-def test_distributed_passes_equal_local_ones(spark):
-    _, df = random_cloud(spark, 120, kind="sphere")
+def test_passes_in_tables_equal_those_in_memory(spark, monkeypatch):
+    monkeypatch.setattr(nbody, "GROUP", 8)
+    _, df = random_cloud(spark, 200, kind="sphere")
     args = {"iterations": 2, "preset": "l5", "cap": 4, "depth": 5}
     a = solver.estimate_normals(df, **args).orderBy("point_id").toPandas().to_numpy()
     b = solver.estimate_normals(df, most_local=10, **args).orderBy("point_id").toPandas().to_numpy()
