@@ -28,7 +28,7 @@ XYZ = ("x", "y", "z")
 #: A node stands for its points from so many half widths away.
 FAR = 4.0
 #: Queries that are broadcast at a time, and points of a group that shares its interactions.
-BLOCK, GROUP = 65_536, 64
+BLOCK, GROUP = 65_536, 128
 #: By operator: the sources' attributes, the length of a result, and whether the kernel is continuous inside the width.
 KINDS = {"A": (("mx", "my", "mz"), 1, True), "AT": (("s",), 3, False), "G": (("mx", "my", "mz"), 3, False)}
 
@@ -237,15 +237,16 @@ class Kernels:
     def __init__(self, at: np.ndarray, places: np.ndarray, width: float) -> None:
         centre = (at.min(axis=0) + at.max(axis=0)) / 2
         self.x, self.y = at - centre, places - centre
-        d2 = np.zeros((len(at), len(places)))
-        for c in range(3):
-            d = self.x[:, c, None] - self.y[None, :, c]
-            d *= d
-            d2 += d
+        # squared distances as one product; its rounding matters inside the width only, where they are cut off
+        square = lambda v: (v * v).sum(axis=1)[:, None]
+        left = np.hstack((self.x, square(self.x), np.ones((len(at), 1))))
+        right = np.hstack((-2.0 * self.y, np.ones((len(places), 1)), square(self.y)))
+        d2 = left @ right.T
         self.near = d2 < width * width
-        d2[self.near] = width * width
-        self.inverse2 = 1.0 / d2
-        self.cube = self.inverse2 * np.sqrt(self.inverse2)  # continuous inside the width
+        np.maximum(d2, width * width, out=d2)
+        self.inverse2 = np.reciprocal(d2, out=d2)
+        self.cube = np.sqrt(d2)  # continuous inside the width
+        self.cube *= d2
         self.cut: np.ndarray | None = None
 
     def _cut(self) -> np.ndarray:

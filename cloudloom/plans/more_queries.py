@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cloudloom.functions import geometry as G
 from cloudloom.operators import clouds, linalg, mesh, nbody, poisson, repair, skeleton, solver
 from cloudloom.plans import adapters as A
-from cloudloom.plans.queries import EVENTS, EVENTS_WIDTH, FACES, ISLANDS, LINES, ORACLE_SQL, UNIT, VECTORS, VERTICES, M, _cells, _half, query, scaled
+from cloudloom.plans.queries import EVENTS, EVENTS_WIDTH, FACES, ISLANDS, LINES, ORACLE_SQL, UNIT, VECTORS, VERTICES, M, _area, _cells, _half, query, scaled
 from cloudloom.session import shared_dir
 from cloudloom.sources import ply, points, sinks
 from cloudloom.streaming import decimate as streaming
@@ -58,7 +58,7 @@ def residual_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def estimated_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return solver.estimate_normals(A.unit_embeddings(spark, sf_dir), iterations=10, preset="l3")
+    return solver.estimate_normals(A.unit_embeddings(spark, sf_dir), preset="l3")
 
 
 @query()
@@ -144,11 +144,17 @@ def trimmed_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.trim(*A.mesh_grid(spark, 32), threshold=4.5)[1]
 
 
-@query("SELECT c AS comp, CASE WHEN c = 1 THEN 0 ELSE c END::BIGINT AS into, c <> 2 AS above, c = 3 AS lone FROM (SELECT unnest(range(4)) AS c)")
+_RING = "(SELECT l_suppkey % 97 AS c, sum(l_quantity)::DOUBLE AS area FROM lineitem GROUP BY 1)"
+
+
+@query(f"WITH a AS (SELECT c * 2 AS comp, true AS above, area FROM {_RING}), s AS (SELECT sum(area + 0.5) AS whole FROM a) SELECT comp, comp AS into, true AS above, false AS lone FROM a UNION ALL SELECT comp + 1, comp, true, false FROM a")
 def island_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    comps = spark.createDataFrame([(0, True, 100.0), (1, False, 0.01), (2, False, 50.0), (3, True, 0.001)], "comp long, above boolean, area double")
-    near = spark.createDataFrame([(0, 1), (1, 0), (0, 2), (2, 0)], "comp long, near long")
-    return repair.merge_islands(comps, near)
+    """A small island below in each of some large parts above, whose areas come from the table: all go into the part around them."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy((F.col("l_suppkey") % 97).alias("c")).agg(F.sum("l_quantity").cast("double").alias("area"))
+    large = t.select((F.col("c") * 2).cast("long").alias("comp"), F.lit(True).alias("above"), "area")
+    small = large.select((F.col("comp") + 1).alias("comp"), F.lit(False).alias("above"), F.lit(0.5).alias("area"))
+    near = large.select("comp", (F.col("comp") + 1).alias("near"))
+    return repair.merge_islands(large.unionByName(small), near.unionByName(near.select(F.col("near").alias("comp"), F.col("comp").alias("near"))))
 
 
 _WIDE = f"(SELECT fid, (fid // {2 * M}) // 4 AS comp FROM {FACES})"
@@ -172,18 +178,36 @@ def closed_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.is_closed(repair.close(vertices, cut)[1]).select(F.lit(1).alias("n"), "closed")
 
 
-@query(f"SELECT count(DISTINCT floor(x / 0.1) * 1000000 + floor(y / 0.1) * 1000 + floor(z / 0.1)) AS vertices FROM {VERTICES} v WHERE vid IN (SELECT src FROM {_half(ISLANDS)})")
+_CLUSTERED = f"""WITH t AS MATERIALIZED (
+  SELECT vid, x, y, z, min(vid) OVER (PARTITION BY floor(x / 0.1::DOUBLE), floor(y / 0.1::DOUBLE), floor(z / 0.1::DOUBLE)) AS t FROM {VERTICES}
+), r AS MATERIALIZED (
+  SELECT fid, a.t AS a, b.t AS b, c.t AS c FROM {FACES} f JOIN t a ON a.vid = vids[1] JOIN t b ON b.vid = vids[2] JOIN t c ON c.vid = vids[3]
+  WHERE len(list_distinct([a.t, b.t, c.t])) = 3
+), f AS (SELECT min(fid) AS fid, arg_min([a, b, c], fid) AS k FROM r GROUP BY list_sort([a, b, c])
+), n AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT unnest(k) AS t FROM f))"""
+
+
+@query(f"{_CLUSTERED} SELECT n.i AS vid, {', '.join(f'round(avg({c}) * 1e6)::BIGINT AS {c}' for c in 'xyz')} FROM t JOIN n USING (t) GROUP BY n.i")
 def clustered_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vertices, faces = mesh.compact(*[A.mesh_grid(spark, M)[0], A.islands(A.mesh_grid(spark, M)[1], M)])
-    keys = [F.floor(F.col(c) / 0.1) for c in "xyz"]
-    return vertices.groupBy(*keys).count().agg(F.count("*").alias("vertices"))
+    return repair.simplify(*A.mesh_grid(spark, M), 0.1)[0].select("vid", *[scaled(c).alias(c) for c in "xyz"])
 
 
-@query()
+@query(f"{_CLUSTERED} SELECT fid, [a.i, b.i, c.i] AS vids FROM f JOIN n a ON a.t = k[1] JOIN n b ON b.t = k[2] JOIN n c ON c.t = k[3]")
 def simplified_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.simplify(*A.mesh_grid(spark, M), 0.1)[1]
 
 
+_CLIP = f"""(SELECT fid, list_filter([p.value, q.value, r.value], lambda v: v > 4.5) AS up, list_filter([p.value, q.value, r.value], lambda v: v <= 4.5) AS down
+  FROM {FACES} JOIN {VERTICES} p ON p.vid = vids[1] JOIN {VERTICES} q ON q.vid = vids[2] JOIN {VERTICES} r ON r.vid = vids[3])"""
+
+
+@query(f"SELECT round(sum(area * CASE len(up) WHEN 0 THEN 0.0 WHEN 3 THEN 1.0 WHEN 1 THEN (up[1] - 4.5) / (up[1] - down[1]) * (up[1] - 4.5) / (up[1] - down[2]) ELSE 1.0 - (4.5 - down[1]) / (up[1] - down[1]) * (4.5 - down[1]) / (up[2] - down[1]) END) * 1e6)::BIGINT AS area FROM {_area(FACES)} JOIN {_CLIP} USING (fid)")
+def trimmed_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What trimming keeps is the part of the surface over the threshold, to the last triangle."""
+    vertices, faces = repair.trim(*A.mesh_grid(spark, M), threshold=4.5, ratio=0.0)
+    return mesh.face_areas(faces, vertices).agg(scaled(F.sum("area")).alias("area"))
+
+
 @query()
 def mesh_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices, polygons = poisson.level_set(poisson.evaluate_on(3, spark, _ball), 0.0, 3)
