@@ -12,8 +12,9 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -206,13 +207,16 @@ def _title_place(page: Page) -> int:
 
 
 def _siblings(page: Page, children: dict[int, list[int]], chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each node: the share of its children with the most common make-up, the characters of its largest sibling, and whether that one stands before it."""
+    """Of each node: the share of its children with the most common make-up, the characters of its largest sibling, and whether that one stands before it.
+
+    All children count, however many; a child's make-up is its tag and the set of its own children's.
+    """
     n = len(page.tag)
     alike, largest, before = np.zeros(n), np.zeros(n), np.zeros(n)
     for up, own in children.items():
-        made = [(page.tag[k], tuple(page.tag[c] for c in children.get(k, ())[-3:])) for k in own]
-        alike[up] = max(map(made.count, set(made))) / len(made) if 1 < len(made) <= 200 else 0.0
         if len(own) > 1:
+            made = Counter((page.tag[k], frozenset(page.tag[c] for c in children.get(k, ()))) for k in own)
+            alike[up] = max(made.values()) / len(own)
             sizes = chars[own]
             first = int(np.argmax(sizes))
             second = float(np.partition(sizes, -2)[-2])
@@ -319,9 +323,15 @@ def decode(page: Page, logits: np.ndarray) -> np.ndarray:
     return label == 1
 
 
-def training_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[str]]]:
-    """n made-up pages, each with the blocks of its main text."""
+def training_pages(n: int, seed: int = 7, wide: bool = False) -> Iterator[tuple[str, list[str]]]:
+    """n made-up pages, each with the blocks of its main text; on wide ones some runs of like parts are up to 100 times as long."""
     chance = random.Random(seed)
+
+    def many(low: int, high: int) -> int:
+        """How many like parts follow each other."""
+        k = chance.randint(low, high)
+        return int(k * 100 ** chance.random()) if wide and chance.random() < 0.3 else k
+
     letters = ["".join(chance.choice("bcdfghklmnprstvz") + chance.choice("aeiouäé") for _ in range(chance.randint(1, 4))) for _ in range(2000)]
 
     def words(low: int, high: int, stop: str = ".") -> str:
@@ -367,7 +377,7 @@ def training_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[str]]]:
         """Readers' comments whose names don't tell: many parts made alike, each short, with who wrote it."""
         who = lambda: chance.choice((f"<h4>{words(1, 2, '')}</h4>", f"<b>{words(1, 2, '')}</b> ", f"<p><a href='/u'>{words(1, 2, '')}</a></p>"))
         item = chance.choice(("div", "li", "article"))
-        made = [f"<{item}{plain()}>{who()}<p>{words(3, 40)}</p></{item}>" for _ in range(chance.randint(3, 9))]
+        made = [f"<{item}{plain()}>{who()}<p>{words(3, 40)}</p></{item}>" for _ in range(many(3, 9))]
         inner = f"<ul>{''.join(made)}</ul>" if item == "li" else "".join(made)
         return f"<div{plain()}><h3>{words(1, 3, '')}</h3>{inner}</div>"
 
@@ -394,7 +404,7 @@ def training_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[str]]]:
         if kind == 7:
             return f"<form{attribute('newsletter', 'search', 'login')} action=/x><p>{words(4, 20)}</p><label>{words(1, 4, '')}</label><input name=q><button>go</button></form>"
         if kind == 8:
-            own = "".join(f"<div{attribute('comment')}><h4>{words(1, 2, '')}</h4><p>{words(5, 60)}</p><p>{words(3, 40)}</p></div>" for _ in range(chance.randint(1, 5)))
+            own = "".join(f"<div{attribute('comment')}><h4>{words(1, 2, '')}</h4><p>{words(5, 60)}</p><p>{words(3, 40)}</p></div>" for _ in range(many(1, 5)))
             return f"<{(t := chance.choice(('section', 'div')))}{sure('comments', 'disqus', 'replies')}><h3>{words(1, 3, '')}</h3>{own}</{t}>"
         if kind == 9:
             return f"<div{sure('share', 'social', 'tags', 'meta', 'byline')}><a href=/a>{words(1, 2, '')}</a> <a href=/b>{words(1, 2, '')}</a> {words(1, 5, '')}</div>"
@@ -417,15 +427,15 @@ def training_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[str]]]:
             return f"<{tag}{attributes}>{shown}" + ("" if tag == "p" and chance.random() < 0.15 else f"</{tag}>")
 
         if kind < 6:
-            out += [block("p", 1, chance.choice((2, 12, 60, 120))) for _ in range(chance.randint(1, 6))]
+            out += [block("p", 1, chance.choice((2, 12, 60, 120))) for _ in range(many(1, 6))]
         elif kind == 6:
             out.append(block(chance.choice(("h2", "h3")), 1, 8))
         elif kind == 7:
-            out += ["<ul>", *[block("li", 2, 20) for _ in range(chance.randint(2, 6))], "</ul>"]
+            out += ["<ul>", *[block("li", 2, 20) for _ in range(many(2, 6))], "</ul>"]
         elif kind == 8:
             out += ["<blockquote>", block("p", 5, 40), "</blockquote>"]
         elif kind == 9:
-            out += ["<table>", *["<tr>" + block("td", 1, 5) + block("td", 1, 5) + "</tr>" for _ in range(chance.randint(1, 4))], "</table>"]
+            out += ["<table>", *["<tr>" + block("td", 1, 5) + block("td", 1, 5) + "</tr>" for _ in range(many(1, 4))], "</table>"]
         elif kind == 10:
             out += ["<figure><img src=/z.png>", block("figcaption", 3, 15), "</figure>"]
         else:
@@ -481,6 +491,8 @@ def training_pages(n: int, seed: int = 7) -> Iterator[tuple[str, list[str]]]:
 
 
 TRAINING_PAGES, TREES, DEPTH = 2500, 100, 5
+#: For so many training pages there is a wide one, so that the trees know long runs of comments from long articles.
+PAGES_A_WIDE_ONE = 8
 _fitted: dict[int, Trees] = {}
 
 
@@ -507,9 +519,10 @@ def labelled_nodes(pages: Iterator[tuple[str, list[str]]]) -> tuple[np.ndarray,
 
 
 def model(pages: int = TRAINING_PAGES) -> Trees:
-    """The trees fitted on so many training pages, once per process."""
+    """The trees fitted on so many training pages and the wide ones added to them, once per process."""
     if pages not in _fitted:
-        _fitted[pages] = fit(*labelled_nodes(training_pages(pages)), trees=TREES, depth=DEPTH)
+        made = chain(training_pages(pages), training_pages(pages // PAGES_A_WIDE_ONE, seed=8, wide=True))
+        _fitted[pages] = fit(*labelled_nodes(made), trees=TREES, depth=DEPTH)
     return _fitted[pages]
 
 

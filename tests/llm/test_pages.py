@@ -139,6 +139,41 @@ def test_pages_written_by_hand_give_exact_texts(body):
     assert text_of(f"<html><body>{body}</body></html>") == "\n".join(_BLOCKS)
 
 
+@pytest.mark.parametrize("n", [150, 200, 201, 3000])
+def test_groups_of_any_number_of_children_are_compared(n):
+    source = f"<body><div>{'<section><p>a</p></section>' * (n - 10)}{'<h2>b</h2>' * 10}</div></body>"
+    page = htmlextract.Page(source)
+    shares = htmlextract.node_features(page)[:, len(htmlextract.TAG_GROUPS) + 22]
+    assert shares[page.tag.index("div")] == (n - 10) / n
+
+
+def test_whole_make_ups_are_compared():
+    source = f"<body><div>{'<section><p>a</p><p>b</p><p>c</p><h2>d</h2></section><section><p>a</p><p>b</p><p>c</p><ul></ul></section>' * 3}</div></body>"
+    page = htmlextract.Page(source)
+    assert htmlextract.node_features(page)[page.tag.index("div"), len(htmlextract.TAG_GROUPS) + 22] == 0.5
+
+
+_NOTE_FORMS = ("<div class=c1><b>{}</b><p>{}</p></div>", "<div><h4>{}</h4><p>{}</p></div>", "<ul><li><b>{}</b> <p>{}</p></li></ul>", "<article class=c1><p><a href=/u>{}</a></p><p>{}</p></article>")
+_VOICES = (("Ann", "I liked this piece a lot."), ("Bob", "Not sure about the second part."), ("Cem", "Thanks for writing it. " + _PLAIN), ("Dee", "Where was the photo taken?"))
+
+
+@pytest.mark.parametrize("n", [5, 50, 199, 201, 300, 2000])
+@pytest.mark.parametrize("form", _NOTE_FORMS)
+def test_long_runs_of_comments_stay_out(form, n):
+    notes = "".join(form.format(*_VOICES[k % 4]) for k in range(n)).replace("</ul><ul>", "")
+    assert text_of(f"<html><body><nav>{_LINKS}</nav><article>{_ARTICLE}</article><div class=x9><h3>{n} replies</h3>{notes}</div><footer>&copy; x</footer></body></html>") == "\n".join(_BLOCKS)
+    assert text_of(f"<html><body><nav>{_LINKS}</nav><div class=wrap>{_ARTICLE}<div class=x9><h3>{n} replies</h3>{notes}</div></div><footer>&copy; x</footer></body></html>") == "\n".join(_BLOCKS)
+
+
+@pytest.mark.parametrize("n", [5, 199, 201, 2000])
+@pytest.mark.parametrize("open_, part, close", [("", "<p>{}</p>", ""), ("<ul>", "<li>{}</li>", "</ul>"), ("<table>", "<tr><td>{}</td></tr>", "</table>")])
+def test_long_runs_of_an_article_stay_in(open_, part, close, n):
+    blocks = [f"Part {k} of the long account. " + _PLAIN.strip() for k in range(n)]
+    run = open_ + "".join(part.format(b) for b in blocks) + close
+    source = f"<html><body><nav>{_LINKS}</nav><div class=wrap>{_ARTICLE}{run}</div><div class=x9><h3>4 replies</h3>{_NOTES}</div><footer>&copy; x</footer></body></html>"
+    assert text_of(source) == "\n".join(_BLOCKS + blocks)
+
+
 def test_markup_references_and_white_space():
     body = "<p>First   <b>bo</b>ld&nbsp;&amp; &lt;tag&gt;\n line</p><p>a &copy; b<br>c</p><script>var x='<p>no</p>';</script><p>3 < 5 and 7 > 6, it was said by all of them.</p><!-- <p>hidden</p> --><p>Unclosed and long enough to be seen"
     page = f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href=/>Home</a></nav><article><h1>Title here</h1>{body}</article><footer>&copy; x</footer></body></html>"
