@@ -9,18 +9,19 @@ number grows with the most frequent length, so that length fills no single task.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from cloudloom.llm.shared import map_batches, materialize, renamed
 from cloudloom.llm.tokencount import tokenizer
@@ -34,72 +35,150 @@ BUCKET_PIECES = 200_000
 MOST_KEPT = 1_000_000
 #: Words that the library encodes at a time.
 BATCH_WORDS = 20_000
-#: Characters of text whose words are looked up together.
-SLICE_CHARS = 2 << 20
+#: Bytes of text whose words are looked up together, and of Latin-1 text whose parts are.
+SLICE_CHARS, SLICE_PLAIN = 2 << 20, 8 << 20
+#: Common marks at the ends of words; the tests put odd characters before them.
 MARKS = ".,;:!?"
-#: A mark that goes on a run of other characters than letters and digits. U+001C to U+001F are white space to \s, but not to the tokenizer.
-_RUN = re.compile(f"[^A-Za-z0-9À-ÖØ-öø-ÿ \\t-\\r\\x85\\xa0][{MARKS}]")
+#: What the tokenizer's pattern tells apart in Latin-1. U+001C to U+001F are white space to Python's \s, but not to the tokenizer.
+LETTER, NUMBER, WHITE, OTHER = range(4)
+_WHITES = b"\t\n\x0b\x0c\r \x85\xa0"
+_KINDS = bytes(WHITE if k in _WHITES else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(k))[0], OTHER) for k in range(256))
+_LOWER = bytes(ord(chr(k).lower()) for k in range(256))
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many) in the order of their places
 
 
-def words_of(text: str) -> list[bytes]:
-    """White-space words of a text that, encoded one by one, give the text's ids.
-
-    The tokenizer lower-cases, and parts letters from marks, but takes a run of marks as one. So in
-    Latin-1 text a single mark between a letter or digit and white space can stand alone in lower
-    case, which leaves far fewer distinct words. Other texts keep their words as they are: there
-    lower-casing could depend on neighbours, make a special token's string, or a mark belong to a run.
-    """
+def plain(text: str) -> bytes | None:
+    """The text in Latin-1, if it is Latin-1 and holds no special token; else None."""
     try:
-        text.encode("latin-1")
+        return None if "<|" in text else text.encode("latin-1")
     except UnicodeEncodeError:
-        return text.encode().split()
-    if "<|" in text or _RUN.search(text):
-        return text.encode().split()
-    low = text.lower() + "\n"
-    for mark in MARKS:
-        if mark in low:
-            low = low.replace(f"{mark} ", f" {mark} ").replace(f"{mark}\n", f" {mark}\n")
-    return low.encode().split()
+        return None
+
+
+def chunks(text: bytes, most: int) -> Iterator[bytes]:
+    """The text cut at spaces into chunks of at most `most` bytes, or of one longer word."""
+    while len(text) > most and (at := text.rfind(b" ", 0, most) + 1 or text.find(b" ", most) + 1):
+        yield text[:at]
+        text = text[at:]
+    yield text
+
+
+def slices(texts: Iterable[tuple[int, bytes]], most: int) -> Iterator[list[tuple[int, bytes]]]:
+    """Numbered texts in lists of about `most` bytes."""
+    some: list[tuple[int, bytes]] = []
+    size = 0
+    for k, text in texts:
+        some.append((k, text))
+        size += len(text)
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def parts_of(text: bytes) -> tuple[pa.Array, np.ndarray]:
+    """(parts in lower case, where each starts): what the tokenizer takes one by one from Latin-1 text between white space.
+
+    Its pattern takes runs of letters, single numbers and runs of others, and begins anew wherever the
+    kind changes. Only an apostrophe that begins a part can take letters along ('s, 'll): it stays with
+    the letters after it, which the library then parts. The text has white space at both ends.
+    """
+    kind = np.frombuffer(text.translate(_KINDS), np.uint8)
+    cut = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)  # between a byte and the next
+    if b"'" in text:
+        at = np.flatnonzero(np.frombuffer(text, np.uint8) == ord("'"))
+        cut[at[(kind[at - 1] != OTHER) & (kind[at + 1] == LETTER)]] = False
+    at = np.flatnonzero(cut) + 1
+    starts, ends = at[kind[at] != WHITE], at[kind[at - 1] != WHITE]
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    kept = text.translate(_LOWER, _WHITES)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]), starts
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian bytes, by white-space words.
+    """Token ids of whole texts as little-endian bytes, by distinct words.
 
     The tokenizer drops white space and no token crosses it, so the ids of the words in turn are the
     ids of the text. All ids come from the library; those of distinct words are kept in a bounded table
-    per worker.
+    per worker. The words of Latin-1 texts are the tokenizer's own parts, found and put together in whole
+    columns. Other texts are parted at white space only: there lower-casing could depend on neighbours,
+    or make a special token's string.
     """
 
     def __init__(self, path: str) -> None:
         self.encoder = tokenizer(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        encode = self.encoder.encode_batch_fast
+        self.known: dict[bytes, bytes] = {}  # by words in UTF-8
+        self.parts: dict[bytes, bytes] = {}  # by parts in Latin-1
+        vocabulary, suffix = self.encoder.get_vocab(), getattr(self.encoder.model, "end_of_word_suffix", None)
+        #: By id: whether the token ends a part. None if a part might be without such a token.
+        self.last: np.ndarray | None = None
+        if suffix and all(c + suffix in vocabulary for c in ByteLevel.alphabet()):
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes], known: dict[bytes, bytes], code: str) -> None:
         for first in range(0, len(new), BATCH_WORDS):
             words = new[first : first + BATCH_WORDS]
-            encoded = encode(b" ".join(words).decode().split(" "), add_special_tokens=False)
-            self.known.update((word, array("I", e.ids).tobytes()) for word, e in zip(words, encoded, strict=True))
+            ids = self._ids(b" ".join(words).decode(code).split(" "))
+            known.update((word, array("I", own).tobytes()) for word, own in zip(words, ids, strict=True))
+
+    def _learn_parts(self, new: list[bytes]) -> None:
+        """Many parts in one string for the library, told apart in its ids by the tokens that end a part: each part has one."""
+        alone = [part for part in new if self.last is None or part[0] == ord("'")]  # with letters it may be two parts
+        new = [part for part in new if part[0] != ord("'")] if self.last is not None else []
+        for first in range(0, len(new), BATCH_WORDS):
+            parts = new[first : first + BATCH_WORDS]
+            ids = np.array(self._ids([b" ".join(parts).decode("latin-1")])[0], dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            self.parts.update(zip(parts, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        self._learn(alone, self.parts, "latin-1")
+
+    def _encode_words(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts in UTF-8."""
+        split = [text.split() for text in texts]
+        if len(self.known) > MOST_KEPT:
+            self.known.clear()
+        words = set().union(*split)
+        self._learn(list(words - self.known.keys()), self.known, "utf-8")
+        own = {w: self.known[w] for w in words}  # small enough for the processor's caches
+        return [b"".join(map(own.__getitem__, words)) for words in split]
+
+    def _encode_parts(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of plain texts in Latin-1."""
+        found, starts = parts_of(b"\n".join([b"", *texts, b""]))
+        coded = found.dictionary_encode()
+        words, which = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        if len(self.parts) > MOST_KEPT:
+            self.parts.clear()
+        self._learn_parts([w for w in words if w not in self.parts])
+        own = list(map(self.parts.__getitem__, words))
+        counts = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat, firsts = np.frombuffer(b"".join(own), "<u4"), np.cumsum(counts) - counts
+        each = counts[which]
+        ends = np.cumsum(each)  # of the ids of each part
+        before = np.concatenate([[0], ends])
+        ids = flat[np.arange(before[-1]) + np.repeat(firsts[which] - before[:-1], each)].tobytes()
+        text_ends = np.cumsum([len(text) + 1 for text in texts])  # of each text's white space before the next
+        at = (4 * before[np.searchsorted(starts, text_ends)]).tolist()
+        return list(map(ids.__getitem__, map(slice, [0, *at], at)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts; a null text counts as empty."""
-        out: list[bytes] = []
-        split: list[list[bytes]] = []
-        size = 0
-        for k, text in enumerate(texts):
-            split.append(words_of(text or ""))
-            size += len(text or "")
-            if size >= SLICE_CHARS or k == len(texts) - 1:
-                if len(self.known) > MOST_KEPT:
-                    self.known.clear()
-                words = set().union(*split)
-                self._learn(list(words - self.known.keys()))
-                own = {w: self.known[w] for w in words}  # small enough for the processor's caches
-                out += [b"".join(map(own.__getitem__, words)) for words in split]
-                split, size = [], 0
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        latin = [plain(text or "") for text in texts]
+        parted = ((k, chunk) for k, x in enumerate(latin) if x is not None for chunk in chunks(x, SLICE_PLAIN))
+        others = ((k, texts[k].encode()) for k, x in enumerate(latin) if x is None)
+        for encode, numbered, most in ((self._encode_parts, parted, SLICE_PLAIN), (self._encode_words, others, SLICE_CHARS)):
+            for some in slices(numbered, most):
+                for (k, _), ids in zip(some, encode([text for _, text in some]), strict=True):
+                    out[k].append(ids)
+        return [b"".join(ids) for ids in out]
 
 
 _encoders: dict[str, Encoder] = {}

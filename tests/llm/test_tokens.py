@@ -262,3 +262,39 @@ def test_control_characters_before_a_mark_give_the_library_ids():
     texts = [f"x{c}{mark} y" for c in "\x1c\x1d\x1e\x1f\x85\xa0" for mark in packing.MARKS]
     got = packing.Encoder(WORD).encode(texts)
     assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == library(WORD, texts)
+
+
+class Counted:
+    """A tokenizer that counts the strings and the characters it is given."""
+
+    def __init__(self, encoder):
+        self.encoder, self.strings, self.chars = encoder, 0, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.strings, self.chars = self.strings + len(texts), self.chars + sum(map(len, texts))
+        return self.encoder.encode_batch_fast(texts, **options)
+
+
+def test_the_library_gets_distinct_parts_in_few_strings():
+    chance = random.Random(4)
+    names = ["".join(chance.choice("abcdeéü") for _ in range(9)) for _ in range(5_000)]
+    texts = [" ".join(f"{w}, {w.upper()}! ({w}) {k}{w} {w}-{k} {w}&&" for w in names[k::50]) for k in range(50)]
+    encoder = packing.Encoder(WORD)
+    encoder.encoder = counted = Counted(encoder.encoder)
+    got = encoder.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == library(WORD, texts)
+    assert counted.strings <= 5 and counted.chars <= 12 * len(names)
+
+
+def test_apostrophes_slices_and_long_texts_give_the_library_ids(monkeypatch):
+    chance = random.Random(8)
+    texts = ["".join(chance.choice(["'", "s", "LL", "d", "é", "1", "²", "ª", "µ", " ", "\xa0", ".", "<", "|", "中", "’"]) for _ in range(chance.randint(0, 12))) for _ in range(20_000)]
+    texts += ["'", "''s", "'S's's", "don't", "1's", ".'s", " 'safe ", "we'LL'll", "x" * 300 + " y", " " * 50 + "z" * 90 + " ", *ODD, "a '<|endoftext|>'s"]
+    want = library(WORD, texts)
+    for most in (packing.SLICE_PLAIN, 40):
+        monkeypatch.setattr(packing, "SLICE_PLAIN", most)
+        encoder = packing.Encoder(WORD)
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    encoder = packing.Encoder(WORD)
+    encoder.last = None  # as for a tokenizer whose tokens don't tell where a part ends
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want and encoder.encode([]) == []
