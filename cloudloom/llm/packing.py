@@ -36,7 +36,7 @@ MOST_KEPT = 1_000_000
 #: Words that the library encodes at a time.
 BATCH_WORDS = 20_000
 #: Bytes of text whose words are looked up together, and of Latin-1 text whose parts are.
-SLICE_CHARS, SLICE_PLAIN = 2 << 20, 8 << 20
+SLICE_CHARS, SLICE_PLAIN = 2 << 20, 4 << 20
 #: Common marks at the ends of words; the tests put odd characters before them.
 MARKS = ".,;:!?"
 #: What the tokenizer's pattern tells apart in Latin-1. U+001C to U+001F are white space to Python's \s, but not to the tokenizer.
@@ -90,7 +90,7 @@ def parts_of(text: bytes) -> tuple[pa.Array, np.ndarray]:
     if b"'" in text:
         at = np.flatnonzero(np.frombuffer(text, np.uint8) == ord("'"))
         cut[at[(kind[at - 1] != OTHER) & (kind[at + 1] == LETTER)]] = False
-    at = np.flatnonzero(cut) + 1
+    at = np.flatnonzero(cut).astype(np.int32) + 1
     starts, ends = at[kind[at] != WHITE], at[kind[at - 1] != WHITE]
     offsets = np.zeros(len(starts) + 1, np.int32)
     np.cumsum(ends - starts, out=offsets[1:])
@@ -158,23 +158,30 @@ class Encoder:
             self.parts.clear()
         self._learn_parts([w for w in words if w not in self.parts])
         own = list(map(self.parts.__getitem__, words))
-        counts = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        flat, firsts = np.frombuffer(b"".join(own), "<u4"), np.cumsum(counts) - counts
-        each = counts[which]
-        ends = np.cumsum(each)  # of the ids of each part
-        before = np.concatenate([[0], ends])
-        ids = flat[np.arange(before[-1]) + np.repeat(firsts[which] - before[:-1], each)].tobytes()
+        flat, counts = np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int32, len(own)) // 4
+        firsts, each = np.cumsum(counts, dtype=np.int32) - counts, counts[which]
+        before = np.zeros(len(each) + 1, np.int32)  # ids before each part
+        np.cumsum(each, out=before[1:])
+        at = np.repeat(firsts[which] - before[:-1], each)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = flat[at].tobytes()
         text_ends = np.cumsum([len(text) + 1 for text in texts])  # of each text's white space before the next
-        at = (4 * before[np.searchsorted(starts, text_ends)]).tolist()
-        return list(map(ids.__getitem__, map(slice, [0, *at], at)))
+        own_ends = [4 * n for n in before[np.searchsorted(starts, text_ends)].tolist()]
+        return list(map(ids.__getitem__, map(slice, [0, *own_ends], own_ends)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts; a null text counts as empty."""
         out: list[list[bytes]] = [[] for _ in texts]
-        latin = [plain(text or "") for text in texts]
-        parted = ((k, chunk) for k, x in enumerate(latin) if x is not None for chunk in chunks(x, SLICE_PLAIN))
-        others = ((k, texts[k].encode()) for k, x in enumerate(latin) if x is None)
-        for encode, numbered, most in ((self._encode_parts, parted, SLICE_PLAIN), (self._encode_words, others, SLICE_CHARS)):
+        others: list[tuple[int, bytes]] = []
+
+        def parted() -> Iterator[tuple[int, bytes]]:
+            for k, text in enumerate(texts):
+                if (latin := plain(text or "")) is None:
+                    others.append((k, text.encode()))
+                else:
+                    yield from ((k, chunk) for chunk in chunks(latin, SLICE_PLAIN))
+
+        for encode, numbered, most in ((self._encode_parts, parted(), SLICE_PLAIN), (self._encode_words, others, SLICE_CHARS)):
             for some in slices(numbered, most):
                 for (k, _), ids in zip(some, encode([text for _, text in some]), strict=True):
                     out[k].append(ids)
